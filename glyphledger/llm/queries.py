@@ -4,24 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import held_out, read_table
+from .chat import conversation_digests, events_of, format_chats
 from .exact_dedup import exact_dedup
+from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import Rule, filter_urls
 
 
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op3_chat_formatting(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(format_chats(events_of(turns.unionByName(probe))))
+
+
+RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
+
+
+def op6_url_filters(spark, sf_dir):
+    return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+def op9_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_url_filters": op6_url_filters,
+    "op9_toxicity": op9_toxicity,
 }
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
+_SAID = "'\\### Assistant: </turn> ok'"
+
 SQL = {
+    "op3_chat_formatting": f"""
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})),
+        c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+                     sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                     sum(4 + length(role) + 2 + length(text) + 8 + length(text) - length(replace(text, '\\', ''))
+                         + (length(text) - length(replace(text, '</', ''))) // 2
+                         + coalesce(list_sum(list_transform(regexp_extract_all(text, '#+'), lambda s: length(s) - 1)), 0)) AS formatted_chars
+              FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, turns_sha256, loss_chars::BIGINT AS loss_chars, loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM c""",
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_NORMAL}) AS text_sha256 FROM documents),
         w AS (SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, text_sha256 FROM w""",
+    "op6_url_filters": """
+        WITH r(rule, h, p, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+                                         ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+        u AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        s AS (SELECT page_id, n, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+        SELECT any_value(page_id) AS page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(v, length(rule)), 'allow') AS verdict
+        FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n""",
 }
