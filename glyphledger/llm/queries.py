@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read_table
 from .chat import conversation_digests, events_of, format_chats
+from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import Rule, filter_urls
@@ -22,6 +23,14 @@ def op3_chat_formatting(spark, sf_dir):
     return conversation_digests(format_chats(events_of(turns.unionByName(probe))))
 
 
+def op10_decontamination(spark, sf_dir):
+    found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
 
 
@@ -40,10 +49,12 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filters": op6_url_filters,
     "op9_toxicity": op9_toxicity,
+    "op10_decontamination": op10_decontamination,
 }
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _SAID = "'\\### Assistant: </turn> ok'"
 
 SQL = {
@@ -71,4 +82,16 @@ SQL = {
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
         SELECT any_value(page_id) AS page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(v, length(rule)), 'allow') AS verdict
         FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n""",
+    "op10_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id::VARCHAR AS item, size, array_to_string(w[i:i + size - 1], ' ') AS k
+                FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+        g AS (SELECT n, i, size, array_to_string(w[i:i + size - 1], ' ') AS k
+              FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win))),
+        hit AS (SELECT n, i, size, item FROM g JOIN win USING (size, k)),
+        p AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS p FROM hit) GROUP BY n),
+        t AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item FROM hit) GROUP BY n)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p USING (n) LEFT JOIN t USING (n)""",
 }

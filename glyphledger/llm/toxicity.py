@@ -18,7 +18,8 @@ its window shows quotation: quotation marks on both sides or a reporting word
 nearby, and no address ("you", "du", ...) in it.  A logistic regression over
 strongest hit, sum of hits, share of words hit and fuzzy-only hits, regularised
 towards sensible weights so that it does not depend on the sample for kinds it
-has not seen, gives the score.
+has not seen, gives the score.  Words that stand in clean texts of the sample
+and happen to be near a term are no misspellings of it.
 
 Null and empty texts have no hits and get the score of such a text.  Labels
 that are null do not count.  Without labels of both classes the lexicon is
@@ -34,6 +35,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,8 +158,24 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, odds: float = 2.5) -> list[tuple[str, bool, float]]:
-    """Terms (text, is_stem, weight 0..1) by the smoothed log odds of standing in a toxic text."""
+def distinct_texts(texts: list[str]) -> list[int]:
+    """Indexes of texts that are no near copy of an earlier one: none of three min-hashes of their word triples is known."""
+    seen, out = [set(), set(), set()], []
+    for i, text in enumerate(texts):
+        w = _words(text)
+        triples = {" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+        least = [min(xxhash.xxh64_intdigest(t, seed) for t in triples) for seed in range(3)]
+        if not any(m in s for m, s in zip(least, seen, strict=True)):
+            out.append(i)
+        for m, s in zip(least, seen, strict=True):
+            s.add(m)
+    return out
+
+
+def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, share: float = 0.01, odds: float = 3.5) -> list[tuple[str, bool, float]]:
+    """Terms (text, is_stem, weight 0..1) by the smoothed log odds of standing in a toxic text; copies count once."""
+    once = distinct_texts(texts)
+    texts, toxic = [texts[i] for i in once], [toxic[i] for i in once]
     bad, good, n_bad, n_good = Counter(), Counter(), 0, 0
     stems_bad, stems_good, forms = Counter(), Counter(), defaultdict(set)
     for text, y in zip(texts, toxic, strict=True):
@@ -172,11 +190,12 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, odds: floa
                     forms[w[:k]].add(w)
     if not n_bad or not n_good:
         return []
+    least = max(least, math.ceil(share * n_bad))
 
     def lean(b, g):
         return math.log((b + 0.5) / (n_bad + 1)) - math.log((g + 0.5) / (n_good + 1))
 
-    stems = {s: lean(b, stems_good[s]) for s, b in stems_bad.items() if b >= 2 * least and len(forms[s]) >= 4 and lean(b, stems_good[s]) >= odds + 1}
+    stems = {s: lean(b, stems_good[s]) for s, b in stems_bad.items() if b >= 2 * least and len(forms[s]) >= 4 and lean(b, stems_good[s]) >= odds}
     # The shortest stem that is not much less pure than its continuations, and the longest of those with the same texts.
     chosen: dict[str, float] = {}
     for s in sorted(stems, key=lambda s: (len(s), s)):
@@ -184,7 +203,7 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, odds: floa
             longer = [t for t in stems if t.startswith(s) and stems_bad[t] >= 0.98 * stems_bad[s]]
             best = max(longer, key=len)
             chosen[best] = stems[best]
-    words = {w: lean(b, good[w]) for w, b in bad.items() if b >= least and len(w) > 2 and lean(b, good[w]) >= odds and not any(w.startswith(t) for t in chosen)}
+    words = {w: lean(b, good[w]) for w, b in bad.items() if b >= least and len(w) > 2 and lean(b, good[w]) >= odds and not any(w.startswith(t) and chosen[t] >= lean(b, good[w]) - 0.5 for t in chosen)}
     ranked = sorted([(w, False, x) for w, x in words.items()] + [(w, True, x) for w, x in chosen.items()], key=lambda t: (-t[2], t[0]))[:MAX_TERMS]
     return [(w, s, min(1.0, x / 6)) for w, s, x in ranked]
 
@@ -199,8 +218,8 @@ def _context(text: str, start: int, end: int) -> float:
 
 
 class Scorer:
-    def __init__(self, terms, weights=PRIOR):
-        self.automaton, self.terms, self.weights, self.memo = TrieAutomaton(terms), terms, np.array(weights), {}
+    def __init__(self, terms, weights=PRIOR, innocent=()):
+        self.automaton, self.terms, self.weights, self.memo, self.innocent = TrieAutomaton(terms), terms, np.array(weights), {}, frozenset(innocent)
 
     def hits(self, text: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, term, edits, value) of each hit."""
@@ -210,7 +229,7 @@ class Scorer:
         for w in set(words):
             m = memo.get(w, 0)
             if m == 0:
-                m = self.automaton.match(w.translate(LEET) if not w.isalpha() else w)
+                m = None if w in self.innocent else self.automaton.match(w.translate(LEET) if not w.isalpha() else w)
                 if len(memo) >= MEMO:
                     memo.clear()
                 memo[w] = m
@@ -241,11 +260,18 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0) -> np.ndarray:
     """Logistic regression by Newton steps, drawn to PRIOR."""
     prior = np.array(PRIOR)
     w = prior.copy()
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + pull / 2 * ((w - prior) ** 2).sum()
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (y - p) - pull * (w - prior))
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-8:
+            step = step / 2
         w = w + step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() <= 1e-8:
             break
     return w
 
@@ -261,14 +287,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return found
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list, list[float]]:
-    """Lexicon and weights from the labelled rows that are not held out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list, list[float], list[str]]:
+    """Lexicon, weights and innocent words from the labelled rows that are not held out."""
     sample = labelled_sample(docs, labels, "toxic", rows, chars)
     texts, y = [t for t, _ in sample], [v for _, v in sample]
     terms = learn_lexicon(texts, y)
     scorer = Scorer(terms)
+    near = (w for t, v in sample if not v for w in set(_words(t)))
+    innocent = sorted({w for w in near if (m := scorer.automaton.match(w)) and m[0]})
+    scorer = Scorer(terms, PRIOR, innocent)
     x = np.array([scorer.features(t) for t in texts]).reshape(-1, len(PRIOR))
-    return terms, (fit_weights(x, np.array(y, float)) if terms else np.array(PRIOR)).tolist()
+    return terms, (fit_weights(x, np.array(y, float)) if terms else np.array(PRIOR)).tolist(), innocent
 
 
 def _scoring(model):
