@@ -8,6 +8,7 @@ from .common import held_out, read_table
 from .chat import conversation_digests, events_of, format_chats
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .simhash import simhash_components
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import Rule, filter_urls
 
@@ -38,6 +39,10 @@ def op6_url_filters(spark, sf_dir):
     return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash_components(read_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op9_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
@@ -48,6 +53,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
