@@ -9,6 +9,7 @@ from .chat import conversation_digests, events_of, format_chats
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .simhash import simhash_components
+from .token_store import verify_documents, write_store
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import Rule, filter_urls
 
@@ -43,6 +44,21 @@ def op7_simhash(spark, sf_dir):
     return simhash_components(read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def tokenizer_file(name):
+    """Where the tokenizer files are: the folder in spark.glyphledger.tokenizers, else the installed package."""
+    import public_tokenizers
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    folder = spark.conf.get("spark.glyphledger.tokenizers", None) if spark else None
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+def op8_token_store(spark, sf_dir):
+    store = write_store(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1)
+    return verify_documents(spark, store)
+
+
 def op9_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
@@ -54,6 +70,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
+    "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
