@@ -8,16 +8,39 @@ from .common import held_out, read_table
 from .chat import conversation_digests, events_of, format_chats
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .quality import fit_quality, score_quality
+from .sentencepiece_codec import encode_sentencepiece
 from .simhash import simhash_components
 from .token_store import verify_documents, write_store
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import Rule, filter_urls
+from .warc import audit, replica
 
 
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def tokenizer_file(name):
+    """Where the tokenizer files are: the folder in spark.glyphledger.tokenizers, else the installed package."""
+    import public_tokenizers
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    folder = spark.conf.get("spark.glyphledger.tokenizers", None) if spark else None
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+def op1_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_sentencepiece(spark, sf_dir):
+    return encode_sentencepiece(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ["doc_id"])
+
+
 def op3_chat_formatting(spark, sf_dir):
     said = "\\### Assistant: </turn> ok"
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -40,18 +63,17 @@ def op6_url_filters(spark, sf_dir):
     return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
-def op7_simhash(spark, sf_dir):
-    return simhash_components(read_table(spark, sf_dir, "documents")).drop("row_key")
+def op5_warc_fixity(spark, sf_dir):
+    """Two replicas of the pages' archives; in the second a byte of some records has changed."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    half = F.floor(F.length("html") / 2).cast("int")
+    changed = F.concat(F.substring("html", 1, half), F.lit("~"), F.substring("html", half + 2, F.length("html")))
+    damaged = F.when(F.col("page_id") * 48271 % 1009 < 25, changed).otherwise(F.col("html"))
+    return audit(replica(pages, F.col("html")), replica(pages, damaged))
 
 
-def tokenizer_file(name):
-    """Where the tokenizer files are: the folder in spark.glyphledger.tokenizers, else the installed package."""
-    import public_tokenizers
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    folder = spark.conf.get("spark.glyphledger.tokenizers", None) if spark else None
-    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+def op7_simhash(spark, sf_dir):
+    return simhash_components(read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op8_token_store(spark, sf_dir):
@@ -66,8 +88,11 @@ def op9_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc_fixity": op5_warc_fixity,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
     "op8_token_store": op8_token_store,
@@ -97,6 +122,15 @@ SQL = {
         w AS (SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, text_sha256 FROM w""",
+    "op5_warc_fixity": """
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a,
+                          CASE WHEN page_id * 48271 % 1009 < 25 THEN substr(html, 1, length(html) // 2) || '~' || substr(html, length(html) // 2 + 2) ELSE html END AS b FROM pages),
+        h AS (SELECT page_id, a, coalesce(b, '') AS b, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>'
+                     || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS h, chr(13) || chr(10) || chr(13) || chr(10) AS e FROM p),
+        r AS (SELECT page_id // 500 AS archive, page_id AS record_id, h || strlen(a) || e || a || e AS a, h || strlen(b) || e || b || e AS b FROM h),
+        s AS (SELECT archive, record_id, strlen(a) AS length, sha256(a) AS digest_a, sha256(b) AS digest_b FROM r),
+        o AS (SELECT *, row_number() OVER w - 1 AS position, sum(length) OVER w - length AS "offset" FROM s WINDOW w AS (PARTITION BY archive ORDER BY record_id ROWS UNBOUNDED PRECEDING))
+        SELECT archive, position, record_id, "offset"::BIGINT AS "offset", length, digest_a, digest_b FROM o WHERE digest_a <> digest_b""",
     "op6_url_filters": """
         WITH r(rule, h, p, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
                                          ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),

@@ -300,18 +300,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, ch
     return terms, (fit_weights(x, np.array(y, float)) if terms else np.array(PRIOR)).tolist(), innocent
 
 
-def _scoring(model):
+def _scoring(model, name):
     def run(batches):
         scorer = Scorer(*model)
         for batch in batches:
             scores = scorer.score([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """The columns keep and text of docs with their score; no row moves."""
+def score_toxicity(docs: DataFrame, model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns keep and text of docs with their score, in a column of that name; no row moves."""
     prepare(docs.sparkSession)
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    return rows.mapInArrow(_scoring(model), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double")
+    return rows.mapInArrow(_scoring(model, name), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{name}` double")
