@@ -2,5 +2,564 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import accuracy as acc
+from ..functions import text as txt
+from ..operators import cache as caches
+from ..operators import collections as colls
+from ..operators import evaluate as ev
+from ..operators import ledger as led
+from ..operators import lookup, raster
+from . import views as v
+from .views import sql_views
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _r(c, digits: int = 6):
+    """Rounded, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
+
+
+def _dup(t: str) -> str:
+    for c in "CUMNR":
+        t = f"regexp_replace({t}, '([{c}{c.lower()}])[{c}{c.lower()}]+', '\\1', 'g')"
+    for d in "0123456789":
+        t = f"regexp_replace({t}, '{d}{{4,}}', '{d}', 'g')"
+    return t
+
+
+def _squeeze(t: str) -> str:
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+_LANG = "|".join(txt.LANGUAGES)
+_CODES = "|".join(txt.SET_CODES)
+_CLEAN = f"upper({_squeeze(f"regexp_replace(translate({_dup(_squeeze('raw'))}, '|\\OIlS', '110115'), '[^0-9A-Za-z /]', '', 'g')")})"
+
+
+def _score(t: str) -> str:
+    parts = [f"regexp_matches({t}, '{_CODES}')::INT * 50", f"regexp_matches({t}, '\\s[CURMBLST]\\s')::INT * 15", f"regexp_matches({t}, '\\d{{3,5}}')::INT * 30", f"regexp_matches({t}, '\\b({_LANG})\\b')::INT * 10", f"(length({t}) > 10)::INT * 5"]
+    return "(" + " + ".join(parts) + ")"
+
+
+def _parsed(t: str) -> str:
+    u = f"upper({t})"
+    return f"nullif(regexp_extract({u}, '({_CODES})', 1), '') AS c0, nullif(regexp_extract({u}, '(\\d{{3,5}})', 1), '') AS n0, nullif(regexp_extract({u}, '\\b({_LANG})\\b', 1), '') AS l0"
+
+
+_CHOSEN = f"""cleaned AS (SELECT scan_id, raw, {_CLEAN} AS cleaned FROM scan_text),
+scored AS (SELECT *, {_score('raw')} AS raw_score, {_score('cleaned')} AS cleaned_score FROM cleaned),
+chosen AS (SELECT *, CASE WHEN raw_score > cleaned_score THEN raw ELSE cleaned END AS final_text, greatest(raw_score, cleaned_score) AS final_score, raw_score > cleaned_score AS used_raw FROM scored),
+keyed AS (SELECT *, {_parsed('final_text')} FROM chosen),
+parsed AS (SELECT *, CASE WHEN c0 IS NOT NULL AND n0 IS NOT NULL THEN c0 END AS set_code, CASE WHEN c0 IS NOT NULL AND n0 IS NOT NULL THEN n0 END AS number,
+           CASE WHEN c0 IS NOT NULL AND n0 IS NOT NULL THEN l0 END AS language FROM keyed)"""
+_TEXT = sql_views("scan_text", more=_CHOSEN)
+
+
+def _chosen(spark, sf_dir):
+    s = v.scan_text(spark, sf_dir).withColumn("cleaned", txt.clean_text(F.col("raw")))
+    return s.select("scan_id", "raw", "cleaned", txt.choose_text(F.col("raw"), F.col("cleaned")).alias("c")).select("scan_id", "raw", "cleaned", "c.*")
+
+
+def _parsed_scans(spark, sf_dir):
+    c = _chosen(spark, sf_dir)
+    return c.select("scan_id", "final_score", txt.parse_key(F.col("final_text")).alias("k")).select("scan_id", "final_score", "k.*")
+
+
+# Texts.
+
+
+@query(
+    "resolve_scan_text",
+    sql_views("scan_text", "catalog", more=_CHOSEN)
+    + """SELECT scan_id, final_score, set_code, number, coalesce({'EN':'en','DE':'de','FR':'fr','ES':'es','IT':'it','PT':'pt','JP':'ja','KO':'ko','RU':'ru','ZH':'zhs'}[language], 'en') AS api_language, card_id, name
+    FROM parsed LEFT JOIN catalog ON lower(set_code) = set AND number::INT = catalog_number""".replace(
+        "{'EN':'en','DE':'de','FR':'fr','ES':'es','IT':'it','PT':'pt','JP':'ja','KO':'ko','RU':'ru','ZH':'zhs'}[language]", "CASE language WHEN 'JP' THEN 'ja' WHEN 'ZH' THEN 'zhs' ELSE lower(language) END"
+    ),
+)
+def resolve_scan_text(spark, sf_dir):
+    found = lookup.resolve(_parsed_scans(spark, sf_dir), v.catalog(spark, sf_dir))
+    return found.select("scan_id", "final_score", "set_code", "number", txt.language_code(F.col("language")).alias("api_language"), "card_id", "name")
+
+
+@query("clean_text", _TEXT + "SELECT scan_id, cleaned FROM cleaned")
+def clean_text(spark, sf_dir):
+    return v.scan_text(spark, sf_dir).select("scan_id", txt.clean_text(F.col("raw")).alias("cleaned"))
+
+
+@query("score_text", _TEXT + "SELECT scan_id, raw_score AS score FROM scored")
+def score_text(spark, sf_dir):
+    return v.scan_text(spark, sf_dir).select("scan_id", txt.score_text(F.col("raw")).alias("score"))
+
+
+@query("choose_text", _TEXT + "SELECT scan_id, raw_score, cleaned_score, final_text, final_score, used_raw FROM chosen")
+def choose_text(spark, sf_dir):
+    return _chosen(spark, sf_dir).drop("raw", "cleaned")
+
+
+@query("parse_key", _TEXT + "SELECT scan_id, set_code, number, language FROM parsed")
+def parse_key(spark, sf_dir):
+    return _parsed_scans(spark, sf_dir).drop("final_score")
+
+
+@query("language_lookup", _TEXT + "SELECT scan_id, coalesce(CASE language WHEN 'JP' THEN 'ja' WHEN 'ZH' THEN 'zhs' ELSE lower(language) END, 'en') AS code, coalesce(CASE language WHEN 'DE' THEN 'German' WHEN 'FR' THEN 'French' WHEN 'ES' THEN 'Spanish' WHEN 'IT' THEN 'Italian' WHEN 'PT' THEN 'Portuguese' WHEN 'JP' THEN 'Japanese' WHEN 'KO' THEN 'Korean' WHEN 'RU' THEN 'Russian' WHEN 'ZH' THEN 'Chinese' END, 'English') AS display FROM parsed")
+def language_lookup(spark, sf_dir):
+    p = _parsed_scans(spark, sf_dir)
+    return p.select("scan_id", txt.language_code(F.col("language")).alias("code"), txt.language_name(F.col("language")).alias("display"))
+
+
+_STEM = "rarity || ' ' || part_key || ' ' || set_code || ' ' || language"
+
+
+@query("parse_code", sql_views("strips") + f"""SELECT part_key, CASE WHEN ok THEN rarity END AS rarity, CASE WHEN ok THEN CASE WHEN length(n) < 3 THEN lpad(n, 3, '0') ELSE n END END AS number,
+    CASE WHEN ok THEN lower(set_code) END AS set_code, CASE WHEN ok THEN lower(language) END AS language
+    FROM (SELECT *, part_key::VARCHAR AS n, regexp_matches({_STEM}, '^[CRMUL]\\s+\\d+\\s+[A-Z]{{3,4}}\\s+[A-Z]{{2}}$') AS ok FROM strips)""")
+def parse_code(spark, sf_dir):
+    stem = F.concat_ws(" ", "rarity", F.col("part_key").cast("string"), "set_code", "language")
+    return v.strips(spark, sf_dir).select("part_key", txt.parse_code(stem).alias("p")).select("part_key", "p.*")
+
+
+@query("label_lookup_fallback", sql_views("strips") + """SELECT s.part_key, coalesce(l.p_name, trim(regexp_replace(s.raw, '[^a-zA-ZäöüÄÖÜß\\s\\-'',.]', ' ', 'g'))) AS expected
+    FROM strips s LEFT JOIN (SELECT raw, min(p_name) AS p_name FROM strips WHERE part_key % 3 = 0 GROUP BY raw) l USING (raw)""")
+def label_lookup_fallback(spark, sf_dir):
+    s = v.strips(spark, sf_dir)
+    labels = s.filter("part_key % 3 = 0").groupBy(F.col("raw").alias("code")).agg(F.min("p_name").alias("expected"))
+    return lookup.label(s.select("part_key", F.col("raw").alias("stem")), labels).select("part_key", "expected")
+
+
+@query("fallback_search", sql_views("strips") + "SELECT part_key, NULL::VARCHAR AS fallback_id FROM strips")
+def fallback_search(spark, sf_dir):
+    return lookup.fallback_search(v.strips(spark, sf_dir).select("part_key"))
+
+
+@query("recognized_text", sql_views("scan_text") + f"SELECT scan_id, {_squeeze('raw')} AS text FROM scan_text")
+def recognized_text(spark, sf_dir):
+    return v.scan_text(spark, sf_dir).select("scan_id", txt.normalize_recognized(F.col("raw")).alias("text"))
+
+
+@query("escape_html", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def escape_html(spark, sf_dir):
+    return v.table(spark, sf_dir, "pages").select("page_id", txt.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("card_path", sql_views("strips") + "SELECT part_key, '/cards/' || lower(set_code) || '/' || number::INT || CASE language WHEN 'JP' THEN '?lang=ja' WHEN 'ZH' THEN '?lang=zhs' ELSE '?lang=' || lower(language) END AS path FROM strips")
+def card_path(spark, sf_dir):
+    return v.strips(spark, sf_dir).select("part_key", txt.card_path(F.col("set_code"), F.col("number"), txt.language_code(F.col("language"))).alias("path"))
+
+
+@query("cache_key", "SELECT page_id, 'card-image-' || to_base64(encode(url)) AS key FROM pages")
+def cache_key(spark, sf_dir):
+    return v.table(spark, sf_dir, "pages").select("page_id", txt.cache_key(F.col("url")).alias("key"))
+
+
+@query("format_numbers", "SELECT p_partkey, format('{:.1f}', p_retailprice) AS price, CASE WHEN length(p_name) < 25 THEN rpad(p_name, 25, ' ') ELSE p_name END AS padded FROM part")
+def format_numbers(spark, sf_dir):
+    p = v.table(spark, sf_dir, "part")
+    return p.select("p_partkey", txt.fixed(F.col("p_retailprice")).alias("price"), txt.pad_end(F.col("p_name"), 25).alias("padded"))
+
+
+@query("unique_ids", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_brand END ELSE p_name END || CASE WHEN p_size % 3 = 0 THEN '_foil' ELSE '_normal' END AS unique_id FROM part")
+def unique_ids(spark, sf_dir):
+    p, k = v.table(spark, sf_dir, "part"), F.col("p_partkey")
+    card = F.when(k % 5 == 0, F.lit("")).otherwise(F.col("p_name"))
+    other = F.when(k % 2 == 0, F.lit(None)).otherwise(F.col("p_brand"))
+    return p.select("p_partkey", txt.unique_id(card, other, F.when(F.col("p_size") % 3 == 0, F.lit(True))).alias("unique_id"))
+
+
+# Evaluation.
+
+
+@query("edit_similarity", sql_views("judged") + "SELECT image, config_ord, levenshtein(e, a) AS distance, round((greatest(length(e), length(a)) - levenshtein(e, a))::DOUBLE / greatest(length(e), length(a)) * 100, 6) AS similarity FROM judged")
+def edit_similarity(spark, sf_dir):
+    e, a = F.lower(F.trim("expected")), F.lower(F.trim("recognized"))
+    return v.recognitions(spark, sf_dir).select("image", "config_ord", F.levenshtein(e, a).alias("distance"), _r(acc.similarity(e, a)).alias("similarity"))
+
+
+@query("word_match", sql_views("matched") + "SELECT image, config_ord, basic_words AS words FROM matched")
+def word_match(spark, sf_dir):
+    e, a = F.lower(F.trim("expected")), F.lower(F.trim("recognized"))
+    return v.recognitions(spark, sf_dir).select("image", "config_ord", acc.words_matched(e, a, lambda w: F.lit(1)).alias("words"))
+
+
+@query("accuracy_basic", sql_views("results") + "SELECT image, config_ord, round(basic, 6) AS accuracy FROM results")
+def accuracy_basic(spark, sf_dir):
+    return v.recognitions(spark, sf_dir).select("image", "config_ord", _r(acc.accuracy_basic(F.col("expected"), F.col("recognized"))).alias("accuracy"))
+
+
+@query("accuracy_tolerant", sql_views("results") + "SELECT image, config_ord, round(accuracy, 6) AS accuracy FROM results")
+def accuracy_tolerant(spark, sf_dir):
+    return v.results(spark, sf_dir).select("image", "config_ord", _r("accuracy").alias("accuracy"))
+
+
+@query("verdict", sql_views("results") + "SELECT image, config_ord, CASE WHEN accuracy >= 80 THEN 'good' WHEN accuracy >= 60 THEN 'decent' WHEN accuracy >= 30 THEN 'weak' ELSE 'poor' END AS verdict FROM results")
+def verdict(spark, sf_dir):
+    return v.results(spark, sf_dir).select("image", "config_ord", acc.verdict(F.col("accuracy")).alias("verdict"))
+
+
+_STATS = """stats AS (SELECT config, config_ord, avg(accuracy) AS avg_accuracy, max(accuracy) AS max_accuracy, min(accuracy) AS min_accuracy, count(*) AS tests, count(*) FILTER (accuracy >= 80) AS above80,
+    count(*) FILTER (accuracy >= 60) AS above60, avg(confidence) AS avg_confidence, avg(process_time) AS avg_time FROM results WHERE success GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (ORDER BY round(avg_accuracy, 9) DESC, config_ord) AS place FROM stats)"""
+_EVAL = sql_views("results", more=_STATS)
+
+
+@query("config_stats", _EVAL + "SELECT config, config_ord, round(avg_accuracy, 6) AS avg_accuracy, round(max_accuracy, 6) AS max_accuracy, round(min_accuracy, 6) AS min_accuracy, tests, above80, above60, round(avg_confidence, 6) AS avg_confidence, round(avg_time, 6) AS avg_time, round(above80 * 100.0::DOUBLE / tests, 6) AS above80_share FROM stats")
+def config_stats(spark, sf_dir):
+    s = ev.config_stats(v.results(spark, sf_dir))
+    return s.withColumns({c: _r(c) for c in ("avg_accuracy", "max_accuracy", "min_accuracy", "avg_confidence", "avg_time", "above80_share")})
+
+
+@query("config_rank", _EVAL + "SELECT config, place, CASE place WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal, round(avg_accuracy, 6) AS avg_accuracy FROM ranked")
+def config_rank(spark, sf_dir):
+    return ev.rank_configs(ev.config_stats(v.results(spark, sf_dir))).select("config", "place", "medal", _r("avg_accuracy").alias("avg_accuracy"))
+
+
+@query("family_pick", _EVAL + """SELECT family, arg_min(config, place) AS config, round(arg_min(avg_accuracy, place), 6) AS avg_accuracy, min(place) AS place
+    FROM (SELECT *, CASE WHEN contains(config, 'English') AND NOT contains(config, 'German') THEN 'english' WHEN contains(config, 'German') THEN 'german' END AS family FROM ranked) WHERE family IS NOT NULL GROUP BY 1""")
+def family_pick(spark, sf_dir):
+    return ev.family_pick(ev.rank_configs(ev.config_stats(v.results(spark, sf_dir)))).withColumn("avg_accuracy", _r("avg_accuracy"))
+
+
+@query("overall_stats", _EVAL + """SELECT *, round(successful * 100.0::DOUBLE / total, 6) AS success_rate, CASE WHEN above80 > 0 THEN 'good' WHEN above60 > 0 THEN 'partial' ELSE 'poor' END AS verdict
+    FROM (SELECT count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (success AND accuracy >= 80) AS above80, count(*) FILTER (success AND accuracy >= 60) AS above60 FROM results)""")
+def overall_stats(spark, sf_dir):
+    return ev.overall_stats(v.results(spark, sf_dir)).withColumn("success_rate", _r("success_rate"))
+
+
+def _by(key: str) -> str:
+    return _EVAL + f"SELECT coalesce({key}, 'unknown') AS {key}, round(avg(accuracy), 6) AS avg_accuracy, round(max(accuracy), 6) AS max_accuracy, count(*) FILTER (accuracy >= 80) AS above80, count(*) AS tests FROM results WHERE success GROUP BY 1"
+
+
+@query("stats_by_preprocessing", _by("preprocessing"))
+def stats_by_preprocessing(spark, sf_dir):
+    return ev.stats_by(v.results(spark, sf_dir), "preprocessing").withColumns({c: _r(c) for c in ("avg_accuracy", "max_accuracy")})
+
+
+@query("stats_by_language", _by("lang"))
+def stats_by_language(spark, sf_dir):
+    joined = ev.join_config(v.results(spark, sf_dir).drop("lang"), v.configs(spark)).withColumnRenamed("config_lang", "lang")
+    return ev.stats_by(joined, "lang").withColumns({c: _r(c) for c in ("avg_accuracy", "max_accuracy")})
+
+
+@query("best_per_image", _EVAL + """SELECT image, CASE WHEN coalesce(max(accuracy) FILTER (success), 0) = 0 THEN '' ELSE arg_max(config, (accuracy, -config_ord)) FILTER (success) END AS best_config,
+    round(coalesce(max(accuracy) FILTER (success), 0), 6) AS best_accuracy FROM results GROUP BY 1""")
+def best_per_image(spark, sf_dir):
+    return ev.best_config(v.results(spark, sf_dir)).withColumn("best_accuracy", _r("best_accuracy"))
+
+
+@query("top5_per_image", _EVAL + "SELECT image, config, round(accuracy, 6) AS accuracy, place FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY accuracy DESC, config_ord) AS place FROM results WHERE success) WHERE place <= 5")
+def top5_per_image(spark, sf_dir):
+    return ev.best_results(v.results(spark, sf_dir)).select("image", "config", _r("accuracy").alias("accuracy"), "place")
+
+
+@query("top3_texts", _EVAL + "SELECT recognized, times FROM (SELECT recognized, count(*) AS times, min((image, config_ord)) AS f FROM results WHERE success AND length(recognized) > 5 GROUP BY 1) ORDER BY times DESC, f LIMIT 3")
+def top3_texts(spark, sf_dir):
+    return ev.common_texts(v.results(spark, sf_dir))
+
+
+# Ledger.
+
+
+@query("ledger_history", sql_views("history") + "SELECT collection, key, seq, count FROM history")
+def ledger_history(spark, sf_dir):
+    return led.history(v.ledger_events(spark, sf_dir)).select("collection", "key", "seq", "count")
+
+
+def _held(spark, sf_dir):
+    return led.holdings(v.ledger_events(spark, sf_dir))
+
+
+@query("ledger_holdings", sql_views("holdings") + "SELECT collection, key, count, epoch_us(added_at) // 1000 AS added_ms, epoch_us(updated_at) // 1000 AS updated_ms FROM holdings")
+def ledger_holdings(spark, sf_dir):
+    return _held(spark, sf_dir).select("collection", "key", "count", F.unix_millis("added_at").alias("added_ms"), F.unix_millis("updated_at").alias("updated_ms"))
+
+
+@query("ledger_totals", sql_views("holdings") + "SELECT collection, count(*) AS unique_cards, sum(count)::BIGINT AS total_cards, count(*) || ' (' || sum(count)::BIGINT || ' total)' AS label FROM holdings GROUP BY 1")
+def ledger_totals(spark, sf_dir):
+    return led.totals(_held(spark, sf_dir))
+
+
+@query("variant_quantities", sql_views("holdings") + "SELECT collection, regexp_replace(key, '_(foil|normal)$', '') AS card, coalesce(sum(count) FILTER (NOT ends_with(key, '_foil')), 0)::BIGINT AS normal, coalesce(sum(count) FILTER (ends_with(key, '_foil')), 0)::BIGINT AS foil FROM holdings GROUP BY 1, 2")
+def variant_quantities(spark, sf_dir):
+    return led.variant_quantities(_held(spark, sf_dir))
+
+
+@query("card_quantity", sql_views("holdings") + "SELECT e.collection, e.key, coalesce(h.count, 0) AS count FROM (SELECT DISTINCT collection, key FROM ledger_events) e LEFT JOIN holdings h USING (collection, key)")
+def card_quantity(spark, sf_dir):
+    return led.quantities(_held(spark, sf_dir), v.ledger_events(spark, sf_dir).select("collection", "key").distinct())
+
+
+@query("ledger_upsert", sql_views("holdings", more="changes AS (SELECT collection, key, CASE WHEN sum(seq) % 2 = 0 THEN 1 ELSE -1 END AS delta, max(ts) AS ts FROM ledger_events GROUP BY 1, 2)")
+    + "SELECT collection, key, (coalesce(count, 0) + coalesce(delta, 0))::BIGINT AS count, epoch_us(coalesce(added_at, ts)) // 1000 AS added_ms FROM holdings FULL JOIN changes USING (collection, key) WHERE coalesce(count, 0) + coalesce(delta, 0) > 0")
+def ledger_upsert(spark, sf_dir):
+    events = v.ledger_events(spark, sf_dir)
+    changes = events.groupBy("collection", "key").agg(F.when(F.sum("seq") % 2 == 0, 1).otherwise(-1).alias("delta"), F.max("ts").alias("ts"))
+    return led.upsert(led.holdings(events), changes).select("collection", "key", "count", F.unix_millis("added_at").alias("added_ms"))
+
+
+@query("export_rows", sql_views("holdings", "strips") + """SELECT collection, h.key, count || ',"' || coalesce(replace(p_name, '"', '""'), '') || '",' || coalesce('"' || set_code || '"', '') || ',Near Mint,' || coalesce(CASE language WHEN 'DE' THEN 'German'
+    WHEN 'FR' THEN 'French' WHEN 'ES' THEN 'Spanish' WHEN 'IT' THEN 'Italian' WHEN 'PT' THEN 'Portuguese' WHEN 'JP' THEN 'Japanese' WHEN 'KO' THEN 'Korean' WHEN 'RU' THEN 'Russian' WHEN 'ZH' THEN 'Chinese' END, 'English')
+    || ',' || CASE WHEN ends_with(h.key, '_foil') THEN 'Yes' ELSE 'No' END || ',' || coalesce(number, '') AS line FROM holdings h LEFT JOIN strips ON part_key = regexp_extract(h.key, '^(\\d+)', 1)::BIGINT""")
+def export_rows(spark, sf_dir):
+    s = v.strips(spark, sf_dir)
+    held = _held(spark, sf_dir)
+    named = held.join(s, F.regexp_extract(held["key"], r"^(\d+)", 1).cast("bigint") == s["part_key"], "left")
+    rows = named.select("collection", "key", "count", F.col("p_name").alias("name"), F.col("set_code").alias("set"), txt.language_name(F.col("language")).alias("language_display"), F.col("key").endswith("_foil").alias("is_foil"), "number")
+    return led.export_rows(rows).select("collection", "key", "line")
+
+
+# Collections and caches.
+
+
+@query("collection_list", sql_views("collections") + "SELECT id, name, epoch(created_at)::BIGINT AS created_s, card_count, id = 'coll_000000007' AS is_active, row_number() OVER (ORDER BY created_at DESC, ord) AS place FROM collections")
+def collection_list(spark, sf_dir):
+    active = spark.createDataFrame([("coll_000000007",)], "id string")
+    return colls.listing(v.collections(spark, sf_dir), active).select("id", "name", F.unix_seconds("created_at").alias("created_s"), "card_count", "is_active", "place")
+
+
+@query("duplicate_names", sql_views("collections") + "SELECT lower(name) AS name_key, count(*) AS n, min(id) AS first_id FROM collections GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark, sf_dir):
+    return colls.duplicate_names(v.collections(spark, sf_dir))
+
+
+@query("acceptable_names", sql_views("collections") + """SELECT r.id, r.name FROM (SELECT id, trim(CASE ord % 4 WHEN 0 THEN '  ' WHEN 1 THEN upper(name) WHEN 2 THEN ' new ' || name ELSE name || repeat('x', 50) END) AS name FROM collections) r
+    WHERE length(r.name) BETWEEN 1 AND 50 AND NOT EXISTS (SELECT 1 FROM collections c WHERE lower(c.name) = lower(r.name) AND c.id <> r.id)""")
+def acceptable_names(spark, sf_dir):
+    c = v.collections(spark, sf_dir)
+    k = F.col("ord") % 4
+    asked = F.when(k == 0, F.lit("  ")).when(k == 1, F.upper("name")).when(k == 2, F.concat(F.lit(" new "), "name")).otherwise(F.concat("name", F.lit("x" * 50)))
+    return colls.acceptable_names(c.select("id", asked.alias("name")), c)
+
+
+@query("delete_reassign", sql_views("collections", more="kept AS (SELECT * FROM collections WHERE card_count > 0), act AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM kept WHERE id = 'coll_000000000') THEN 'coll_000000000' ELSE (SELECT arg_min(id, ord) FROM kept) END AS a)") + "SELECT id, name, id = a AS is_active FROM kept, act")
+def delete_reassign(spark, sf_dir):
+    c = v.collections(spark, sf_dir)
+    kept, now = colls.delete(c, spark.createDataFrame([("coll_000000000",)], "id string"), c.filter("card_count = 0"))
+    return kept.join(now.withColumnRenamed("id", "active_id"), F.col("id") == F.col("active_id"), "left").select("id", "name", F.col("active_id").isNotNull().alias("is_active"))
+
+
+@query("collection_recount", sql_views("holdings", "collections") + "SELECT c.id, coalesce(n, 0)::INT AS card_count, coalesce(n, 0) <> c.card_count AS changed FROM collections c LEFT JOIN (SELECT 'coll_' || lpad(collection, 9, '0') AS id, sum(count) AS n FROM holdings GROUP BY 1) h USING (id)")
+def collection_recount(spark, sf_dir):
+    c = v.collections(spark, sf_dir)
+    held = _held(spark, sf_dir).withColumn("collection", F.concat(F.lit("coll_"), F.lpad("collection", 9, "0")))
+    after = colls.recount(c, held, "2030-01-01")
+    return after.select("id", "card_count", (F.col("last_modified") == F.lit("2030-01-01").cast("timestamp")).alias("changed"))
+
+
+@query("cache_fresh", sql_views("cache") + f"SELECT key, ts_ms FROM cache WHERE {v.AS_OF_MS} - ts_ms < 86400000")
+def cache_fresh(spark, sf_dir):
+    return caches.fresh(v.cache(spark, sf_dir), v.AS_OF_MS).select("key", "ts_ms")
+
+
+@query("cache_evict", sql_views("cache") + "SELECT key, ts_ms FROM (SELECT *, row_number() OVER (ORDER BY coalesce(ts_ms, 0), key) AS n, count(*) OVER () AS total FROM cache) WHERE n > ceil(total * 0.25)")
+def cache_evict(spark, sf_dir):
+    return caches.evict(v.cache(spark, sf_dir)).select("key", "ts_ms")
+
+
+# Rasters.
+
+_PX, _WIDE = sql_views("pixels"), sql_views("pixels_wide")
+_EVEN = "CASE WHEN abs({0} - floor({0}) - 0.5) < 1e-12 THEN 2 * round({0} / 2) ELSE round({0}) END"
+
+
+def _clamp(t: str) -> str:
+    return f"greatest(0.0::DOUBLE, least(255.0::DOUBLE, {t}))"
+
+
+@query("luma", _PX + "SELECT image_id, y, x, round(gray, 6) AS gray FROM pixels")
+def luma(spark, sf_dir):
+    return raster.with_gray(v.pixels(spark, sf_dir)).select("image_id", "y", "x", _r("gray").alias("gray"))
+
+
+@query("prep_normal", _PX + f"SELECT image_id, y, x, round_even(255.0::DOUBLE - {_clamp('(gray - 128) * 2.5::DOUBLE + 128')}, 0) AS value FROM pixels")
+def prep_normal(spark, sf_dir):
+    return raster.with_gray(v.pixels(spark, sf_dir)).select("image_id", "y", "x", raster.prep_normal(F.col("gray")).alias("value"))
+
+
+_FOIL = """stats AS (SELECT image_id, avg(gray) AS avg_brightness, avg(abs(r - (r + g + b) / 3) + abs(g - (r + g + b) / 3) + abs(b - (r + g + b) / 3)) AS color_variance, avg((gray > 180)::INT) AS bright_ratio,
+    avg((gray < 75)::INT) AS dark_ratio, avg((gray <= 180 AND gray >= 75)::INT) AS midtone_ratio FROM pixels GROUP BY 1),
+votes AS (SELECT *, (color_variance > 15)::INT + (midtone_ratio > 0.4)::INT + (dark_ratio < 0.3 AND bright_ratio < 0.3)::INT AS votes FROM stats)"""
+_T = "CASE WHEN avg_brightness > 140 THEN 160.0::DOUBLE WHEN avg_brightness < 100 THEN 100.0::DOUBLE ELSE 128.0::DOUBLE END"
+_FOIL_VALUE = f"round_even(255.0::DOUBLE - {_clamp('CASE WHEN gray > t THEN 128.0::DOUBLE + (gray - t) * (127.0::DOUBLE / (255.0::DOUBLE - t)) * 1.8::DOUBLE ELSE gray / t * 128 * 0.6::DOUBLE END')}, 0)"
+
+
+@query("image_stats", sql_views("pixels", more=_FOIL) + "SELECT image_id, round(avg_brightness, 6) AS avg_brightness, round(color_variance, 6) AS color_variance, round(bright_ratio, 6) AS bright_ratio, round(dark_ratio, 6) AS dark_ratio, round(midtone_ratio, 6) AS midtone_ratio FROM stats")
+def image_stats(spark, sf_dir):
+    s = raster.image_stats(v.pixels(spark, sf_dir))
+    return s.select("image_id", *[_r(c).alias(c) for c in s.columns[1:]])
+
+
+@query("foil_vote", sql_views("pixels", more=_FOIL) + "SELECT image_id, votes, votes >= 2 AS is_foil FROM votes")
+def foil_vote(spark, sf_dir):
+    return raster.foil_vote(raster.image_stats(v.pixels(spark, sf_dir))).select("image_id", "votes", "is_foil")
+
+
+@query("prep_foil", sql_views("pixels", more=_FOIL) + f"SELECT image_id, y, x, {_FOIL_VALUE} AS value FROM (SELECT p.*, {_T} AS t FROM pixels p JOIN stats USING (image_id))")
+def prep_foil(spark, sf_dir):
+    p = v.pixels(spark, sf_dir)
+    joined = raster.with_gray(p).join(raster.image_stats(p), "image_id")
+    return joined.select("image_id", "y", "x", raster.prep_foil(F.col("gray"), F.col("avg_brightness")).alias("value"))
+
+
+@query("prep_dispatch", sql_views("pixels", more=_FOIL) + f"SELECT image_id, y, x, CASE WHEN votes >= 2 THEN {_FOIL_VALUE} ELSE round_even(255.0::DOUBLE - {_clamp('(gray - 128) * 2.5::DOUBLE + 128')}, 0) END AS value FROM (SELECT p.*, votes, {_T} AS t FROM pixels p JOIN votes USING (image_id))")
+def prep_dispatch(spark, sf_dir):
+    p = v.pixels(spark, sf_dir)
+    out = raster.prepare_for_reading(p, raster.foil_vote(raster.image_stats(p)))
+    return out.select("image_id", "y", "x", F.col("r").alias("value"))
+
+
+@query("contrast", _PX + "SELECT image_id, y, x, " + ", ".join(f"round_even({_clamp(f'({c} - 128) * 2 + 128')}, 0) AS {c}" for c in "rgb") + " FROM pixels")
+def contrast(spark, sf_dir):
+    return raster.preprocess(v.pixels(spark, sf_dir), "contrast").select("image_id", "y", "x", "r", "g", "b")
+
+
+@query("invert", _PX + "SELECT image_id, y, x, " + ", ".join(f"round(255 - {c}, 6) AS {c}" for c in "rgb") + " FROM pixels")
+def invert(spark, sf_dir):
+    p = raster.preprocess(v.pixels(spark, sf_dir), "invert")
+    return p.select("image_id", "y", "x", *[_r(c).alias(c) for c in "rgb"])
+
+
+@query("upscale", _PX + "SELECT image_id, y * 2 + dy AS y, x * 2 + dx AS x, round(r, 6) AS r FROM pixels, range(2) a(dy), range(2) b(dx)")
+def upscale(spark, sf_dir):
+    return raster.preprocess(v.pixels(spark, sf_dir), "upscale").select("image_id", "y", "x", _r("r").alias("r"))
+
+
+@query("sharpen", _PX + f"""SELECT image_id, y, x, CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN round_even({_clamp('n')}, 0) ELSE round(r, 6) END AS r
+    FROM (SELECT p.image_id, p.y, p.x, any_value(p.r) AS r, round(any_value(p.r) * 10 - sum(q.r), 9) AS n FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY 1, 2, 3)""")
+def sharpen(spark, sf_dir):
+    return raster.preprocess(v.pixels(spark, sf_dir), "sharpen").select("image_id", "y", "x", _r("r").alias("r"))
+
+
+@query("crop_quadrant", _WIDE + "SELECT image_id, y - 8 AS y, x, round(r, 6) AS r FROM pixels_wide WHERE x < 8 AND y >= 8")
+def crop_quadrant(spark, sf_dir):
+    return raster.crop_quadrant(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir)).select("image_id", "y", "x", _r("r").alias("r"))
+
+
+_BOTTOM = "bottoms AS (SELECT image_id, max(y) AS bottom_edge FROM (SELECT image_id, y FROM pixels_dark WHERE x >= 13 GROUP BY 1, 2 HAVING avg((gray < 100)::INT) > 0.6) GROUP BY 1)"
+_LEFT = "lefts AS (SELECT image_id, min(x) AS left_edge FROM (SELECT image_id, x FROM pixels_dark WHERE y >= 13 GROUP BY 1, 2 HAVING avg((gray < 100)::INT) > 0.6) GROUP BY 1)"
+_EDGES = sql_views("pixels_dark", more=f"{_BOTTOM}, {_LEFT}, every AS (SELECT DISTINCT image_id FROM pixels_dark)")
+
+
+@query("bottom_edge", _EDGES + "SELECT image_id, bottom_edge FROM every LEFT JOIN bottoms USING (image_id)")
+def bottom_edge(spark, sf_dir):
+    return raster.bottom_edge(v.pixels_dark(spark, sf_dir), v.images_wide(spark, sf_dir))
+
+
+@query("left_edge", _EDGES + "SELECT image_id, left_edge FROM every LEFT JOIN lefts USING (image_id)")
+def left_edge(spark, sf_dir):
+    return raster.left_edge(v.pixels_dark(spark, sf_dir), v.images_wide(spark, sf_dir))
+
+
+@query("crop_edges", _EDGES + "SELECT image_id, y, x - left_edge AS x, round(r, 6) AS r FROM pixels_dark JOIN bottoms USING (image_id) JOIN lefts USING (image_id) WHERE y <= bottom_edge AND x >= left_edge")
+def crop_edges(spark, sf_dir):
+    p, i = v.pixels_dark(spark, sf_dir), v.images_wide(spark, sf_dir)
+    cut = raster.crop_left(raster.crop_bottom(p, raster.bottom_edge(p, i)), raster.left_edge(p, i))
+    return cut.select("image_id", "y", "x", _r("r").alias("r"))
+
+
+_PROFILE = "profile AS (SELECT image_id, y, avg(gray) AS value FROM pixels WHERE x < 6 GROUP BY 1, 2)"
+_NEAR = "SELECT *, lag(value) OVER w AS prev, lead(value) OVER w AS next FROM {} WINDOW w AS (PARTITION BY image_id ORDER BY y)"
+
+
+@query("brightness_profile", sql_views("pixels", more=_PROFILE) + "SELECT image_id, y, round(value, 6) AS value FROM profile")
+def brightness_profile(spark, sf_dir):
+    return raster.brightness_profile(v.pixels(spark, sf_dir), v.images(spark, sf_dir)).select("image_id", "y", _r("value").alias("value"))
+
+
+@query("brightness_peaks", sql_views("pixels", more=_PROFILE) + f"SELECT image_id, y FROM ({_NEAR.format('profile')}) WHERE value > 30 AND value > prev + 10 AND value > next + 10")
+def brightness_peaks(spark, sf_dir):
+    return raster.brightness_peaks(raster.brightness_profile(v.pixels(spark, sf_dir), v.images(spark, sf_dir)))
+
+
+def _sobel_sql(pixels: str) -> str:
+    return f"""sobel_rows AS (SELECT image_id, y, x, lead(gray) OVER w - lag(gray) OVER w AS d, lag(gray) OVER w + 2 * gray + lead(gray) OVER w AS s FROM {pixels} WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+sobel AS (SELECT * FROM (SELECT image_id, y, x, lag(d) OVER w + 2 * d + lead(d) OVER w AS gx, lead(s) OVER w - lag(s) OVER w AS gy FROM sobel_rows WINDOW w AS (PARTITION BY image_id, x ORDER BY y)) WHERE gx IS NOT NULL AND gy IS NOT NULL),
+density AS (SELECT image_id, y, count(*) FILTER (sqrt(gx * gx + gy * gy) > 50) AS edges, avg((sqrt(gx * gx + gy * gy) > 50)::INT) AS value FROM sobel GROUP BY 1, 2)"""
+
+
+_SOBEL = sql_views("pixels", more=_sobel_sql("pixels"))
+
+
+@query("sobel", _SOBEL + "SELECT image_id, y, x, round(gx, 6) + 0 AS gx, round(gy, 6) + 0 AS gy FROM sobel")
+def sobel(spark, sf_dir):
+    return raster.sobel(v.pixels(spark, sf_dir)).select("image_id", "y", "x", _r("gx").alias("gx"), _r("gy").alias("gy"))
+
+
+@query("edge_density", _SOBEL + "SELECT image_id, y, edges, round(value, 6) AS value FROM density")
+def edge_density(spark, sf_dir):
+    return raster.edge_density(v.pixels(spark, sf_dir)).withColumn("value", _r("value"))
+
+
+@query("edge_peaks", _SOBEL + f"SELECT image_id, y FROM ({_NEAR.format('density')}) WHERE value > 0.1 AND value > prev AND value > next")
+def edge_peaks(spark, sf_dir):
+    return raster.edge_peaks(raster.edge_density(v.pixels(spark, sf_dir)))
+
+
+_BLOCKS = """around AS (SELECT image_id, y, x, gray, sum(gray) OVER w AS s, sum(gray * gray) OVER w AS q, count(*) OVER w AS n FROM pixels_wide WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+nine AS (SELECT image_id, y, x, gray, sum(s) OVER w AS s, sum(q) OVER w AS q, sum(n) OVER w AS n FROM around WINDOW w AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+spread AS (SELECT image_id, y, x, gray, greatest(0.0::DOUBLE, q / n - (s / n) * (s / n)) AS variance FROM nine),
+blocks AS (SELECT image_id, y // 8 * 8 AS y, x // 8 * 8 AS x, least(count(*) FILTER (gray > 128), count(*) FILTER (NOT gray > 128))::DOUBLE / greatest(count(*) FILTER (gray > 128), count(*) FILTER (NOT gray > 128)) AS contrast,
+    avg(variance) AS variance FROM spread WHERE x < 8 GROUP BY 1, 2, 3),
+likely AS (SELECT *, (contrast > 0.2 AND contrast < 0.8)::INT * 0.5::DOUBLE + (variance > 200 AND variance < 2000)::INT * 0.5::DOUBLE AS likelihood FROM blocks),
+patterns AS (SELECT image_id, y, avg(likelihood) AS value FROM likely GROUP BY 1, 2)"""
+_VAR = sql_views("pixels_wide", more=_BLOCKS)
+
+
+@query("local_variance", _VAR + "SELECT image_id, y, x, round(variance, 4) AS variance FROM spread")
+def local_variance(spark, sf_dir):
+    return raster.local_variance(v.pixels_wide(spark, sf_dir)).select("image_id", "y", "x", _r("variance", 4).alias("variance"))
+
+
+@query("block_likelihood", _VAR + "SELECT image_id, y, x, round(contrast, 6) AS contrast, round(variance, 4) AS variance, likelihood FROM likely")
+def block_likelihood(spark, sf_dir):
+    b = raster.block_likelihood(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir))
+    return b.withColumns({"contrast": _r("contrast"), "variance": _r("variance", 4)})
+
+
+@query("pattern_peaks", _VAR + "SELECT image_id, y FROM patterns WHERE value > 0.3")
+def pattern_peaks(spark, sf_dir):
+    return raster.pattern_peaks(raster.pattern_profile(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir)))
+
+
+_BANDS = sql_views("pixels_wide", more=_sobel_sql("pixels_wide") + ",\n" + _BLOCKS + f""",
+bright AS (SELECT image_id, y FROM ({_NEAR.format("(SELECT image_id, y, avg(gray) AS value FROM pixels_wide WHERE x < 12 GROUP BY 1, 2)")}) WHERE value > 30 AND value > prev + 10 AND value > next + 10),
+edged AS (SELECT image_id, y FROM ({_NEAR.format('density')}) WHERE value > 0.1 AND value > prev AND value > next),
+agreed AS (SELECT b.image_id, b.y, 1 + (EXISTS (SELECT 1 FROM edged e WHERE e.image_id = b.image_id AND e.y <> 0 AND abs(e.y - b.y) < 20))::INT
+           + (EXISTS (SELECT 1 FROM patterns p WHERE p.value > 0.3 AND p.image_id = b.image_id AND p.y <> 0 AND abs(p.y - b.y) < 20))::INT AS score FROM bright b),
+best AS (SELECT image_id, y AS top, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y) AS n FROM agreed) WHERE n = 1)""")
+
+
+@query("consensus_peaks", _BANDS + "SELECT image_id, y, score FROM agreed")
+def consensus_peaks(spark, sf_dir):
+    p, i = v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir)
+    return raster.consensus(raster.brightness_peaks(raster.brightness_profile(p, i)), raster.edge_peaks(raster.edge_density(p)), raster.pattern_peaks(raster.pattern_profile(p, i)))
+
+
+@query("consensus_band", _BANDS + """SELECT image_id, CASE WHEN ok THEN top ELSE 14 END AS start_y, CASE WHEN ok THEN least(top + 1, 16) - top ELSE 2 END AS band_height, ok AS used_enhanced, CASE WHEN ok THEN score END AS score
+    FROM (SELECT i.image_id, top, score, coalesce(top > 0, false) AS ok FROM (SELECT DISTINCT image_id FROM pixels_wide) i LEFT JOIN best USING (image_id))""")
+def consensus_band(spark, sf_dir):
+    return raster.find_bands(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir))
+
+
+@query("crop_band", _BANDS + """SELECT p.image_id, p.y - s AS y, x, round(r, 6) AS r FROM pixels_wide p JOIN (SELECT image_id, CASE WHEN coalesce(top > 0, false) THEN top ELSE 14 END AS s, CASE WHEN coalesce(top > 0, false) THEN 1 ELSE 2 END AS h
+    FROM (SELECT DISTINCT image_id FROM pixels_wide) LEFT JOIN best USING (image_id)) USING (image_id) WHERE p.y >= s AND p.y < s + h""")
+def crop_band(spark, sf_dir):
+    p, i = v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir)
+    return raster.crop_band(p, raster.find_bands(p, i)).select("image_id", "y", "x", _r("r").alias("r"))
+
+
+@query("detect_card")
+def detect_card(spark, sf_dir):
+    return raster.detect(v.pixels_dark(spark, sf_dir), v.images_wide(spark, sf_dir))
