@@ -99,7 +99,11 @@ def results(spark, sf_dir) -> DataFrame:
 
 
 def ledger_events(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return as_ledger(table(spark, sf_dir, "events"))
+
+
+def as_ledger(e: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as the ledger's."""
     op = F.when(F.col("event_type").isin("purchase", "click"), "inc").when(F.col("event_type") == "error", "dec").when(F.col("event_type") == "signup", "clear")
     k = F.regexp_extract("props", r'"k": (\d+)', 1)
     key = F.concat(k, F.when(F.col("event_id") % 3 == 0, "_foil").otherwise("_normal"))

@@ -1 +1 @@
-"""Scan-text, raster and inventory analytics on Spark."""
+"""Reading and writing: images, key-value stores, dictionaries, holdings, reports."""
