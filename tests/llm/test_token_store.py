@@ -60,3 +60,13 @@ def test_damage_is_seen():
     with pytest.raises(ValueError, match="two contents"):
         rows = [(S.CHUNK, b"k", None, None, None, None, None, x) for x in (b"aa", b"bb")]
         list(S._once([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), S._KINDS, strict=True)], names=S._NAMES)]))
+
+
+def test_cut_words_on_odd_texts():
+    own, lib = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    alphabet = ["a", "Z", "é", "É", "ß", "×", "÷", "ÿ", "Ÿ", "'", "s", "'re", "9", "0", ".", "!?", "<|", "|>", "<|endoftext|>", " ", "\n", "\x0b", "\x85", "　", "漢", "ﬁ", "́", "_", "-", "İ", "ſ", "²"]
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 14))) for _ in range(4000)]
+    ids, at = own.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
