@@ -601,3 +601,115 @@ def ocr_boundary(spark, sf_dir):
 
     files = v.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("image-"), F.col("vec_id").cast("string")).alias("path"), F.to_json("embedding").cast("binary").alias("content"))
     return recognition(None, files)
+
+
+# What is left of the inventory: dates, nested values, registry changes, removals, whole exports.
+
+
+@query("date_formats", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%-d.%-m.%Y') AS local_date, 1000000000000 - epoch_us(o_orderdate) // 1000 AS age_ms FROM orders")
+def date_formats(spark, sf_dir):
+    from ..functions import values
+
+    ts = F.col("o_orderdate").cast("timestamp")
+    o = v.table(spark, sf_dir, "orders").withColumn("iso", values.iso(ts))
+    return o.select("o_orderkey", "iso", values.day_of(F.col("iso")).alias("day"), values.local_date(ts).alias("local_date"), values.age_ms(1_000_000_000_000, F.unix_millis(ts)).alias("age_ms"))
+
+
+@query("array_values", """SELECT vec_id, len(list_filter(embedding, lambda e: e > 0)) AS positive, len(list_filter(embedding, lambda e: e > 0.4)) > 0 AS any_large, array_to_string(list_transform(embedding[1:3], lambda e: floor(e * 10)::INT::VARCHAR), ',') AS head FROM embeddings""")
+def array_values(spark, sf_dir):
+    e = v.table(spark, sf_dir, "embeddings")
+    return e.select(
+        "vec_id", F.size(F.filter("embedding", lambda x: x > 0)).alias("positive"), F.exists("embedding", lambda x: x > F.lit(0.4).cast("float")).alias("any_large"),
+        F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(x * 10).cast("int").cast("string")), ",").alias("head"),
+    )
+
+
+@query("json_values", "SELECT event_id, regexp_extract(props, '(\\d+)', 1)::INT AS k, '{\"k\":' || regexp_extract(props, '(\\d+)', 1) || '}' AS again FROM events")
+def json_values(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,int>"))
+    return e.select("event_id", F.get(F.map_values("m"), F.lit(0)).alias("k"), F.to_json("m").alias("again"))
+
+
+@query("pattern_profile", _VAR + "SELECT image_id, y, value FROM patterns")
+def pattern_profile(spark, sf_dir):
+    return raster.pattern_profile(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir))
+
+
+_NOW = "2030-01-01"
+
+
+@query("collection_create", sql_views("collections") + "SELECT id, name, card_count FROM collections UNION ALL SELECT 'coll_new', 'Fresh Cards', 0")
+def collection_create(spark, sf_dir):
+    once = colls.create(v.collections(spark, sf_dir), " Fresh Cards ", "coll_new", _NOW)
+    return colls.create(once, "fresh cards", "coll_other", _NOW).select("id", "name", "card_count")
+
+
+@query("collection_rename", sql_views("collections") + "SELECT id, CASE WHEN ord = 3 THEN 'Renamed' ELSE name END AS name, ord = 3 AS changed FROM collections")
+def collection_rename(spark, sf_dir):
+    done = colls.rename(v.collections(spark, sf_dir), "coll_000000003", "Renamed", _NOW)
+    return done.select("id", "name", (F.col("last_modified") == F.lit(_NOW).cast("timestamp")).alias("changed"))
+
+
+@query("collection_switch", sql_views("collections") + "SELECT max(id) AS id FROM collections WHERE id = 'coll_000000005'")
+def collection_switch(spark, sf_dir):
+    return colls.switch(spark.createDataFrame([("coll_000000001",)], "id string"), v.collections(spark, sf_dir), "coll_000000005")
+
+
+@query("collection_bootstrap", sql_views("collections") + "SELECT id, name FROM collections WHERE card_count < 0 UNION ALL SELECT 'coll_default', 'My Collection'")
+def collection_bootstrap(spark, sf_dir):
+    return colls.bootstrap(v.collections(spark, sf_dir).filter("card_count < 0"), "coll_default", "My Collection", _NOW).select("id", "name")
+
+
+@query("collection_migrate", sql_views("holdings") + "SELECT collection, key, count FROM holdings WHERE collection <> '1' UNION ALL SELECT '1', p_name || p_partkey, 1 FROM part")
+def collection_migrate(spark, sf_dir):
+    old = v.table(spark, sf_dir, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("key"), F.lit(1).cast("long").alias("count"))
+    return colls.migrate(old, _held(spark, sf_dir).select("collection", "key", "count"), "1")
+
+
+@query("holdings_backfill", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1 ELSE p_size END AS count, coalesce(CASE WHEN p_size % 2 = 0 THEN true END, false) AS is_foil FROM part")
+def holdings_backfill(spark, sf_dir):
+    stored = v.table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size")).alias("count"), F.when(F.col("p_size") % 2 == 0, True).alias("is_foil"), F.lit(7).alias("previousQuantity")
+    )
+    return led.normalize_holdings(stored)
+
+
+@query("ledger_removals", sql_views(more="""ev AS (SELECT user_id::VARCHAR AS collection, regexp_extract(props, '"k": (\\d+)', 1) AS key, ts, event_id AS seq,
+        CASE WHEN event_type IN ('purchase', 'click') THEN 'inc' WHEN event_type = 'error' THEN 'dec' WHEN event_type = 'view' THEN 'remove' ELSE 'clear' END AS op FROM events),
+    m AS (SELECT *, count(*) FILTER (op = 'clear') OVER (PARTITION BY collection ORDER BY ts, seq) AS clears, count(*) FILTER (op = 'remove') OVER (PARTITION BY collection, key ORDER BY ts, seq) AS removes FROM ev),
+    s AS (SELECT *, sum(CASE op WHEN 'inc' THEN 1 ELSE -1 END) OVER (PARTITION BY collection, key, clears, removes ORDER BY ts, seq) AS s FROM m WHERE op IN ('inc', 'dec')),
+    h AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY collection, key, clears, removes ORDER BY ts, seq)) AS count FROM s),
+    l AS (SELECT collection, key, clears, removes, arg_max(count, (ts, seq)) AS count FROM h GROUP BY ALL)""").replace("WITH ,", "WITH ")
+    + """SELECT l.collection, l.key, l.count::BIGINT AS count FROM l JOIN (SELECT collection, count(*) FILTER (op = 'clear') AS c FROM ev GROUP BY 1) a ON a.collection = l.collection AND a.c = l.clears
+    JOIN (SELECT collection, key, count(*) FILTER (op = 'remove') AS r FROM ev GROUP BY 1, 2) b ON b.collection = l.collection AND b.key = l.key AND b.r = l.removes WHERE l.count > 0""")
+def ledger_removals(spark, sf_dir):
+    e, kind = v.table(spark, sf_dir, "events"), F.col("event_type")
+    op = F.when(kind.isin("purchase", "click"), "inc").when(kind == "error", "dec").when(kind == "view", "remove").otherwise("clear")
+    events = e.select(F.col("user_id").cast("string").alias("collection"), F.regexp_extract("props", r'"k": (\d+)', 1).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), op.alias("op"))
+    return led.holdings(events).select("collection", "key", "count")
+
+
+@query("export_csv", sql_views("holdings") + "SELECT collection, 'Count,Name,Edition,Condition,Language,Foil,Collector Number' || chr(10) || string_agg(count || ',\"' || key || '\",,Near Mint,English,' || CASE WHEN ends_with(key, '_foil') THEN 'Yes' ELSE 'No' END || ',', chr(10) ORDER BY key) AS csv FROM holdings GROUP BY 1")
+def export_csv(spark, sf_dir):
+    from ..sources.stores import csv_text
+
+    held = _held(spark, sf_dir)
+    rows = held.select("collection", "key", "count", F.col("key").alias("name"), F.lit(None).cast("string").alias("set"), F.lit(None).cast("string").alias("language_display"), F.col("key").endswith("_foil").alias("is_foil"), F.lit("").alias("number"))
+    return csv_text(led.export_rows(rows), "key")
+
+
+@query("set_dictionary", "SELECT i AS ord, ['FDN', 'DSK', 'BLB', 'OTJ', 'MKM', 'LCI', 'WOE'][i + 1] AS code FROM range(7) t(i)")
+def set_dictionary(spark, sf_dir):
+    from ..sources.stores import set_codes
+
+    return set_codes(spark)
+
+
+@query("registry_values", sql_views("collections") + "SELECT id, name, card_count, id = 'coll_000000004' AS is_active FROM collections WHERE ord < 1000000000")
+def registry_values(spark, sf_dir):
+    """The registry as JSON texts, one per collection, read again."""
+    from ..sources.stores import read_registry
+
+    c = v.collections(spark, sf_dir)
+    value = F.to_json(F.struct(F.create_map("id", F.struct("id", "name", F.col("card_count").alias("cardCount"))).alias("collections"), F.lit("coll_000000004").alias("activeCollection")))
+    return read_registry(c.select(F.lit("collections").alias("key"), value.alias("value"))).select("id", "name", "card_count", "is_active")
