@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from .word_encoder import encoder
 WINDOW = 16
 #: Chunks have 2**CUT_BITS ids on average.
 CUT_BITS = 9
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 DIGEST = 16
 POLY = 0xEDB88320
 
@@ -89,7 +90,7 @@ def _packer(tokenizer: str, end_id: int, id_bytes: int):
 
     def run(batches):
         own, seen = encoder(tokenizer), set()
-        task = uuid.uuid4().bytes
+        task = TaskContext.get().partitionId().to_bytes(8, "little")  # so that a task that runs again makes the same rows
         row = 0
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)

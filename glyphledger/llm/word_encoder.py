@@ -2,10 +2,10 @@
 
 Where a tokenizer's file shows that no token reaches across white space (see
 ``splits_at_space``), a text's ids are those of its words in order, and words
-that come again are looked up.  Words of Latin letters, with or without signs
-after them, go to the library's model as its own normaliser and splitter would
-hand them on; all others go through the whole library one by one.  Any other
-tokenizer encodes whole texts.
+that come again are looked up.  Words of ASCII and Latin-1 letters, digits and
+signs are cut as the library's splitter cuts them, whole batches at a time, and
+go to its model; words with any other character, an apostrophe before a letter
+or "<|" go through the whole library.  Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -18,9 +18,50 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept per worker; beyond that the memory begins anew, which changes no result.
-MEMO = 300_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+from .common import SPACE_BYTES, utf8
+
+#: Pieces kept per worker in each of two generations; what falls out is encoded again, which changes no result.
+MEMO = 200_000
+_PLAIN = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+_LETTER, _DIGIT, _SIGN, _BLANK, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = _DIGIT, _LETTER, _LETTER
+_CLASS[list(SPACE_BYTES)] = _BLANK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def cut_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts lower-cased, with a blank between the pieces of each plain word; other words stay as they are."""
+    kind = _CLASS[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)  # Latin-1 letters: C3 80 to C3 BF but for the signs 97 and B7
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    blank = kind == _BLANK
+    low = _LOWER[raw]
+    upper = lead[(raw[lead + 1] < 0x9F)] + 1
+    low[upper] += 32
+    border = blank.copy()
+    border[at[1:-1][at[1:-1] < len(raw)]] = True
+    word = np.cumsum(border)
+    odd = kind == _ODD
+    follows = np.zeros(len(raw), bool)
+    follows[:-1] = (kind[1:] == _LETTER) & (word[1:] == word[:-1])
+    odd |= (raw == 39) & follows
+    odd[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
+    if odd.any():
+        strange = np.zeros(int(word[-1]) + 1, bool)
+        strange[word[odd]] = True
+        strange = strange[word]
+        low = np.where(strange, raw, low)
+    else:
+        strange = odd
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & ~blank[1:] & ~blank[:-1] & ~strange[1:] & (word[1:] == word[:-1])
+    places = np.flatnonzero(cut)
+    return np.insert(low, places, 32), at + np.searchsorted(places, at)
 
 # The parts of a tokenizer file for which words can be encoded one by one.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -59,44 +100,44 @@ class WordEncoder:
         self.closes = np.zeros(self.n_ids, bool)
         for piece, i in vocab.items():
             self.closes[i] = piece.endswith("</w>")
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """Remembers the ids of what the splitter would yield; each ends with a closing id."""
-        for a in range(0, len(pieces), 2000):
-            some = pieces[a : a + 2000]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _by_model(self, pieces: list[str]) -> list[bytes]:
+        """Ids of what the splitter would yield; each piece ends with a closing id."""
+        out = []
+        for a in range(0, len(pieces), 4000):
+            some = pieces[a : a + 4000]
             ids = np.array(self.model.encode(some, is_pretokenized=True, add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some) or (len(ids) and ends[-1] != len(ids)):
-                ids_of = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(some, add_special_tokens=False)]
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) != len(some) or (len(ids) and ends[-1] != 4 * len(ids)):
+                out += self._by_library(some)
             else:
-                ids_of = np.split(ids, ends[:-1])
-            for p, x in zip(some, ids_of, strict=True):
-                self.pieces[p] = x.tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        plain, other, missing = [], [], {}
+                data = ids.tobytes()
+                ends = ends.tolist()
+                out += [data[b:e] for b, e in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.whole.encode_batch(words, add_special_tokens=False)]
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        plain, other = [], []
         for w in words:
-            m = _PLAIN.fullmatch(w) if len(w) < 100 else None
-            if not m:
-                other.append(w)
-                continue
-            letters, signs = m[1].lower(), m[2]
-            plain.append((w, letters, signs))
-            if letters not in self.pieces:
-                missing[letters] = None
-            if signs and signs not in self.pieces:
-                missing[signs] = None
-        self._encode_pieces(list(missing))
-        for w, letters, signs in plain:
-            self.memo[w] = self.pieces[letters] + (self.pieces[signs] if signs else b"")
-        for w, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, np.uint32).tobytes()
+            if w not in young:
+                x = old.get(w)
+                if x is not None:
+                    young[w] = x
+                elif _PLAIN.fullmatch(w):
+                    plain.append(w)
+                else:
+                    other.append(w)
+        young.update(zip(plain, self._by_model(plain), strict=True))
+        young.update(zip(other, self._by_library(other), strict=True))
+        return [young[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and where each text's begin (and the last's end)."""
@@ -104,17 +145,15 @@ class WordEncoder:
         if not self.by_words:
             lists = [e.ids for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in lists for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        split = pc.ascii_split_whitespace(texts)
+        raw, at = utf8(texts)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        data, at = cut_words(raw, at)
+        split = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.memo]
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                new = words
-            self._learn(new)
-        found = [self.memo[w] for w in words]
-        size = np.array([len(x) // 4 for x in found], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1] if len(found) else np.zeros(0, np.int64)
+        found = self._look_up(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(size) - size
         pool = np.frombuffer(b"".join(found), np.uint32)
         which = np.asarray(coded.indices)
         n = size[which]
