@@ -133,10 +133,10 @@ def parse_code(spark, sf_dir):
 
 
 @query("label_lookup_fallback", sql_views("strips") + """SELECT s.part_key, coalesce(l.p_name, trim(regexp_replace(s.raw, '[^a-zA-ZäöüÄÖÜß\\s\\-'',.]', ' ', 'g'))) AS expected
-    FROM strips s LEFT JOIN (SELECT raw, min(p_name) AS p_name FROM strips WHERE part_key % 3 = 0 GROUP BY raw) l USING (raw)""")
+    FROM strips s LEFT JOIN (SELECT raw, min(p_name) AS p_name FROM strips WHERE p_size <= 17 GROUP BY raw) l USING (raw)""")
 def label_lookup_fallback(spark, sf_dir):
     s = v.strips(spark, sf_dir)
-    labels = s.filter("part_key % 3 = 0").groupBy(F.col("raw").alias("code")).agg(F.min("p_name").alias("expected"))
+    labels = s.filter("p_size <= 17").groupBy(F.col("raw").alias("code")).agg(F.min("p_name").alias("expected"))
     return lookup.label(s.select("part_key", F.col("raw").alias("stem")), labels).select("part_key", "expected")
 
 

@@ -34,7 +34,7 @@ def strips(spark, sf_dir) -> DataFrame:
     k = F.col("part_key")
     p = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("part_key"), F.substring(F.lit(RARITIES), F.col("p_size") % 8 + 1, F.lit(1)).alias("rarity"), F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("number"),
-        pick(SET_CODES, F.col("p_partkey") % 7).alias("set_code"), pick(LANGS, F.col("p_partkey") % 10).alias("language"), "p_name", "p_retailprice",
+        pick(SET_CODES, F.col("p_partkey") % 7).alias("set_code"), pick(LANGS, F.col("p_partkey") % 10).alias("language"), "p_name", "p_type", "p_size",
     )
     base = F.concat_ws(" ", "rarity", "number", "set_code", "language")
     noisy = (
@@ -66,8 +66,8 @@ def scan_text(spark, sf_dir) -> DataFrame:
 
 
 def catalog(spark, sf_dir) -> DataFrame:
-    """(card_id, name, set, number): a card per part, every tenth missing."""
-    s = strips(spark, sf_dir).filter("part_key % 10 != 9")
+    """(card_id, name, set, number): a card per part, but for those of one type, which the catalogue lacks."""
+    s = strips(spark, sf_dir).filter("p_type != 'ECONOMY'")
     return s.select(F.concat(F.lit("card-"), "part_key").alias("card_id"), F.col("p_name").alias("name"), F.lower("set_code").alias("set"), F.col("number").cast("int").alias("catalog_number"))
 
 
@@ -175,10 +175,10 @@ _V = {
             WHEN 5 THEN rarity || ' ' || number || ' ' || set_code || ' +' || language ELSE base END AS raw
         FROM (SELECT *, rarity || ' ' || number || ' ' || set_code || ' ' || language AS base
               FROM (SELECT p_partkey AS part_key, substr('{RARITIES}', p_size % 8 + 1, 1) AS rarity, lpad(p_partkey::VARCHAR, 5, '0') AS number, {_list(SET_CODES)}[p_partkey % 7 + 1] AS set_code,
-                           {_list(LANGS)}[p_partkey % 10 + 1] AS language, p_name, p_retailprice FROM part))""",
+                           {_list(LANGS)}[p_partkey % 10 + 1] AS language, p_name, p_type, p_size FROM part))""",
     "scan_text": f"""SELECT 'p' || part_key AS scan_id, raw FROM strips UNION ALL SELECT 'd' || doc_id, {_ASCII} FROM documents
         UNION ALL SELECT 'b' || item_id, {_ASCII} FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, {_ASCII} FROM conversations""",
-    "catalog": "SELECT 'card-' || part_key AS card_id, p_name AS name, lower(set_code) AS set, number::INT AS catalog_number FROM strips WHERE part_key % 10 <> 9",
+    "catalog": "SELECT 'card-' || part_key AS card_id, p_name AS name, lower(set_code) AS set, number::INT AS catalog_number FROM strips WHERE p_type <> 'ECONOMY'",
     "configs": f"""SELECT i AS config_ord, {_list(c[0] for c in CONFIGS)}[i + 1] AS name, {_list(c[1] for c in CONFIGS)}[i + 1] AS lang, {_list(c[2] for c in CONFIGS)}[i + 1] AS preprocessing
         FROM range({len(CONFIGS)}) t(i)""",
     "recognitions": """SELECT p_partkey AS image, p_name AS expected, CASE config_ord WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'l', '1') WHEN 2 THEN upper(replace(p_name, 'o', '0')) WHEN 3 THEN reverse(p_name)
