@@ -72,18 +72,14 @@ def with_row_key(df: DataFrame, text_col: str = "text") -> DataFrame:
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose (id, row_key) is in kept, repeats of a row once, columns as in docs.
 
-    Both sides meet in one sort-merge join on the id and the key, whose skewed
-    partitions Spark can split; ids are near unique, so no key is hot.
+    Both sides meet once, by id and key, and repeats are told apart where they
+    meet: the texts are shuffled one time.  Ids are near unique, so no key is hot.
     """
-    mark = kept.select(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    w = Window.partitionBy(id_col, "__row_key").orderBy(F.lit(1))
-    return (
-        keyed.join(mark, keyed[id_col].eqNullSafe(mark["__id"]) & (keyed["__row_key"] == mark["__key"]), "left_semi")
-        .withColumn("__n", F.row_number().over(w))
-        .filter("__n = 1")
-        .select(*docs.columns)
-    )
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("no id"))
+    mark = kept.select(known(F.col(id_col)).alias("__id"), F.col("row_key").alias("__key"))
+    keyed = docs.withColumns({"__id": known(F.col(id_col)), "__key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    w = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
+    return keyed.join(mark, ["__id", "__key"], "left_semi").withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):
