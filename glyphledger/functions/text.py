@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SPACE = r"[\s\x0B   -     　﻿]"
+BLANKS = "\t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SET_CODES = ["FDN", "DSK", "BLB", "OTJ", "MKM", "LCI", "WOE"]
 LANGUAGES = {
     "EN": ("en", "English"), "DE": ("de", "German"), "FR": ("fr", "French"), "ES": ("es", "Spanish"), "IT": ("it", "Italian"),
@@ -28,7 +29,7 @@ def trim_all(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Trimmed, each run of white space one blank."""
-    return trim_all(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.translate(text, BLANKS, " " * len(BLANKS)), " {2,}", " "))
 
 
 def clean_text(raw: Column) -> Column:
