@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from glyphledger.llm.common import keep_rows, read_table, release, shared_dir
 from glyphledger.llm.decontaminate import find_contamination
 from glyphledger.llm.exact_dedup import exact_dedup
+from glyphledger.llm.near_dedup import near_copies
 from glyphledger.llm.queries import tokenizer_file
 from glyphledger.llm.sentencepiece_codec import encode_sentencepiece
-from glyphledger.llm.simhash import simhash_components
 from glyphledger.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -34,9 +34,9 @@ def exact(spark, docs, sf_dir):
 
 
 def near(spark, docs, sf_dir):
-    """Of documents linked by their fingerprints that with the smallest doc_id stays."""
+    """Of documents linked by five-word shingles, at a Jaccard similarity of 0.8 or more, that with the smallest doc_id stays."""
     release(spark)
-    found = simhash_components(docs)
+    found = near_copies(docs)
     return keep_rows(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

@@ -49,8 +49,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 
 
-def fingerprints(raw: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each row, as unsigned 64-bit integers."""
+def shingle_hashes(raw: np.ndarray, at: np.ndarray, shingle: int = SHINGLE):
+    """The number of each row's shingles, and an iterator of (row, hash) of each, some at once."""
     rows = len(at) - 1
     inside = ~_SPACE[raw]
     opens = inside.copy()
@@ -73,14 +73,23 @@ def fingerprints(raw: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.
     row_of = np.repeat(np.arange(rows), count)
     begin = first[row_of] + np.arange(base[-1]) - base[row_of]
     finish = np.minimum(begin + shingle, first[row_of + 1]) - 1
-    totals = np.zeros((rows, 64), np.int64)
     step = 1 << 17
     digest = xxhash.xxh64_intdigest
-    for a in range(0, int(base[-1]), step):
-        s, e = starts[begin[a : a + step]].tolist(), ends_at[finish[a : a + step]].tolist()
-        h = np.fromiter((digest(text[i:j], SEED) for i, j in zip(s, e, strict=True)), np.uint64, len(s))
+
+    def hashed():
+        for a in range(0, int(base[-1]), step):
+            s, e = starts[begin[a : a + step]].tolist(), ends_at[finish[a : a + step]].tolist()
+            yield row_of[a : a + step], np.fromiter((digest(text[i:j], SEED) for i, j in zip(s, e, strict=True)), np.uint64, len(s))
+
+    return count, hashed()
+
+
+def fingerprints(raw: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each row, as unsigned 64-bit integers."""
+    count, hashed = shingle_hashes(raw, at, shingle)
+    totals = np.zeros((len(count), 64), np.int64)
+    for own, h in hashed:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = row_of[a : a + step]
         cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         totals[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
     return np.packbits(2 * totals > count[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
