@@ -203,8 +203,10 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, share: flo
             longer = [t for t in stems if t.startswith(s) and stems_bad[t] >= 0.98 * stems_bad[s]]
             best = max(longer, key=len)
             chosen[best] = stems[best]
-    words = {w: lean(b, good[w]) for w, b in bad.items() if b >= least and len(w) > 2 and lean(b, good[w]) >= odds and not any(w.startswith(t) and chosen[t] >= lean(b, good[w]) - 0.5 for t in chosen)}
-    ranked = sorted([(w, False, x) for w, x in words.items()] + [(w, True, x) for w, x in chosen.items()], key=lambda t: (-t[2], t[0]))[:MAX_TERMS]
+    words = {w: lean(b, good[w]) for w, b in bad.items() if b >= least and len(w) > 2 and lean(b, good[w]) >= odds}
+    # Stems match without edits: words that one covers stay for their misspellings, after all others.
+    covered = {w for w, x in words.items() if any(w.startswith(t) and chosen[t] >= x - 0.5 for t in chosen)}
+    ranked = sorted([(w, False, x) for w, x in words.items()] + [(w, True, x) for w, x in chosen.items()], key=lambda t: (not t[1] and t[0] in covered, -t[2], t[0]))[:MAX_TERMS]
     return [(w, s, min(1.0, x / 6)) for w, s, x in ranked]
 
 

@@ -74,6 +74,17 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert nothing.filter("score >= 0.5").count() == 0 and T.score_toxicity(docs.limit(0), T.fit_toxicity(docs, marks), ["doc_id"]).count() == 0
 
 
+def test_words_that_a_stem_covers_are_caught_misspelt():
+    forms = ["achlicha", "achliche", "achlichen", "achlicher"]
+    texts = [f"{w} c{i} d{i} e{i} f{i}" for i in range(200) for w in ([forms[i // 2 % 4]] if i % 2 else ["plain"])]
+    terms = T.learn_lexicon(texts, [i % 2 for i in range(200)])
+    assert any(stem and "achlichen".startswith(t) for t, stem, _ in terms)
+    s = T.Scorer(terms)
+    for word in ("cahlichen", "axhliche", "chlicher"):
+        assert s.hits(word), word
+    assert not s.hits("plain")
+
+
 def test_lines():
     texts = ["a\nb\n", "", "\n", "x", "\n\ny\n", " é\nq", None]
     raw, at = utf8(pa.array(texts))
