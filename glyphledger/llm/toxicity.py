@@ -18,8 +18,9 @@ its window shows quotation: quotation marks on both sides or a reporting word
 nearby, and no address ("you", "du", ...) in it.  A logistic regression over
 strongest hit, sum of hits, share of words hit and fuzzy-only hits, regularised
 towards sensible weights so that it does not depend on the sample for kinds it
-has not seen, gives the score.  Words that stand in clean texts of the sample
-and happen to be near a term are no misspellings of it.
+has not seen, gives the score.  Words that happen to be near a term are no
+misspellings of it if they stand in several clean texts of the sample, and not
+far more often in toxic ones.
 
 Null and empty texts have no hits and get the score of such a text.  Labels
 that are null do not count.  Without labels of both classes the lexicon is
@@ -289,14 +290,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return found
 
 
+def innocent_words(texts: list[str], toxic: list[int], automaton: TrieAutomaton, least: int = 4, odds: float = 1.0) -> list[str]:
+    """Words near a term that stand in several clean texts and by their smoothed log odds not mainly in toxic ones; copies count once."""
+    seen: dict[str, bool] = {}
+    near = []
+    for text in texts:
+        words = set(_words(text))
+        for w in words:
+            if w not in seen:
+                m = automaton.match(w)
+                seen[w] = bool(m and m[0])
+        near.append({w for w in words if seen[w]})
+    some = [i for i, words in enumerate(near) if words]
+    once = [some[k] for k in distinct_texts([texts[i] for i in some])]
+    bad, good = Counter(w for i in once if toxic[i] for w in near[i]), Counter(w for i in once if not toxic[i] for w in near[i])
+    n_bad, n_good = sum(toxic), len(toxic) - sum(toxic)
+    lean = {w: math.log((bad[w] + 0.5) / (n_bad + 1)) - math.log((g + 0.5) / (n_good + 1)) for w, g in good.items()}
+    return sorted(w for w, x in lean.items() if good[w] >= least and x < odds)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list, list[float], list[str]]:
     """Lexicon, weights and innocent words from the labelled rows that are not held out."""
     sample = labelled_sample(docs, labels, "toxic", rows, chars)
     texts, y = [t for t, _ in sample], [v for _, v in sample]
     terms = learn_lexicon(texts, y)
     scorer = Scorer(terms)
-    near = (w for t, v in sample if not v for w in set(_words(t)))
-    innocent = sorted({w for w in near if (m := scorer.automaton.match(w)) and m[0]})
+    innocent = innocent_words(texts, y, scorer.automaton)
     scorer = Scorer(terms, PRIOR, innocent)
     x = np.array([scorer.features(t) for t in texts]).reshape(-1, len(PRIOR))
     return terms, (fit_weights(x, np.array(y, float)) if terms else np.array(PRIOR)).tolist(), innocent

@@ -85,6 +85,19 @@ def test_words_that_a_stem_covers_are_caught_misspelt():
     assert not s.hits("plain")
 
 
+def test_one_clean_row_switches_no_misspelling_off(spark):
+    texts = [f"you idiot c{i} d{i} e{i} f{i}" if i % 2 else f"plain c{i} d{i} e{i} f{i}" for i in range(400)]
+    texts = [t + " idiom" if i % 8 == 0 else t for i, t in enumerate(texts)]
+    texts[2] += " idoit"
+    texts += [texts[2]] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(t.startswith("you"))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    model = T.fit_toxicity(docs, marks)
+    assert "idoit" not in model[2] and "idiom" in model[2]
+    s = T.Scorer(*model)
+    assert s.hits("an idoit") and not s.hits("an idiom")
+
+
 def test_lines():
     texts = ["a\nb\n", "", "\n", "x", "\n\ny\n", " é\nq", None]
     raw, at = utf8(pa.array(texts))
