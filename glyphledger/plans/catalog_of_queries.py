@@ -573,10 +573,11 @@ def ledger_stream(spark, sf_dir):
     """The whole event table through the streaming ledger; what is left is the last change of each key."""
     import uuid
 
+    from ..sources.shared import shared_dir
     from ..streaming.ledger_stream import ledger_updates
 
     source = v.table(spark, sf_dir, "events")
-    out = f"{_shared(spark)}/ledger-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     stream = v.as_ledger(spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     log = ledger_updates(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}/log").trigger(availableNow=True)
     log.foreachBatch(lambda df, n: df.selectExpr("*", f"{n} AS batch").write.mode("append").parquet(f"{out}/changes")).start().awaitTermination()
@@ -584,16 +585,6 @@ def ledger_stream(spark, sf_dir):
     return last.filter("s.count > 0").select("collection", "key", F.col("s.count").alias("count"), F.unix_millis("s.added_at").alias("added_ms"))
 
 
-def _shared(spark) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="glyphledger-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 @query("ocr_boundary")
 def ocr_boundary(spark, sf_dir):
     """Each vector as a file's content, read by no recogniser: the boundary alone."""
