@@ -1,5 +1,9 @@
 """What the corpus operators share: scratch tables, raw text buffers, row identity.
 
+Scratch.  Tables that cut lineage lie in the shared folder.  Inside a
+``scratch`` block they go at its end; outside of one they stay, as the lazy
+result that a caller holds reads them.
+
 Row identity.  A row of a document table is known by its id and the XXH64 of
 its text.  Rows equal in both are repeats of one document; operators that keep
 or drop rows keep at most one of them.
@@ -8,56 +12,68 @@ or drop rows keep at most one of them.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Characters deleted or split at as white space: blank and \t \n \v \f \r.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _ROOT = str(Path(__file__).resolve().parents[2])
-_scratch: list[str] = []
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_scope: ContextVar[list[str] | None] = ContextVar("scratch tables of the innermost block", default=None)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in Python workers and bounds Arrow batches."""
+    """Makes the package importable in Python workers; bounds Arrow batches where the user has set no bound."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), _ROOT) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get(_ROWS, None) in (None, "10000"):  # the default
+        spark.conf.set(_ROWS, "2000")
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="glyphledger-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes with the innermost scratch block."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = _scope.get()
+    if own is not None:
+        own.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _scratch.append(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def release(spark: SparkSession, upto: int | None = None) -> None:
-    """Deletes scratch tables written so far; call once what was derived from them has been written."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone, _scratch[:] = _scratch[:upto], _scratch[upto:] if upto is not None else []
-    for path in gone:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Scratch tables made inside the block are deleted at its end; what is derived from them must be written by then."""
+    own: list[str] = []
+    outer = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(outer)
+        for path in own:
+            delete(spark, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,17 +85,25 @@ def with_row_key(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("row_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def shielded(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """docs with its text named "text" and all other columns c0, c1, ..., which no operator uses, and these names in order."""
+    names = ["text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose (id, row_key) is in kept, repeats of a row once, columns as in docs.
 
-    Both sides meet once, by id and key, and repeats are told apart where they
-    meet: the texts are shuffled one time.  Ids are near unique, so no key is hot.
+    Repeats of a row (null ids count as one id) become one row per task before
+    anything moves, so a row that is a third of all is no hot key; then both
+    sides meet by id and key, and the texts are shuffled one time.
     """
     known = lambda c: F.coalesce(c.cast("string"), F.lit("no id"))
-    mark = kept.select(known(F.col(id_col)).alias("__id"), F.col("row_key").alias("__key"))
-    keyed = docs.withColumns({"__id": known(F.col(id_col)), "__key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    w = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
-    return keyed.join(mark, ["__id", "__key"], "left_semi").withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*docs.columns)
+    mark = kept.select(known(F.col(id_col)).alias("__id"), F.col("row_key").alias("__key")).distinct()
+    plain, names = shielded(docs, text_col)
+    keyed = plain.select(known(F.col(names[docs.columns.index(id_col)])).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key"), *names)
+    once = keyed.dropDuplicates(["__id", "__key"])
+    return once.join(mark, ["__id", "__key"], "left_semi").select(*names).toDF(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -15,7 +15,8 @@ that share a group; one group is compared by one task.
 
 A text is known by its row key.  Words are those of simhash.py; fewer than five
 make one shingle, and texts without words are alike.  Null ids are passed over
-by the smallest id.
+by the smallest id.  ``near_keepers`` names one row of each component, also where
+rows share an id or have none.
 """
 
 from __future__ import annotations
@@ -149,8 +150,8 @@ def _grower(batches):
         yield links(pa.Table.from_batches(held))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key and component_id, the smallest doc_id that near copies lead to, of each row of docs."""
+def near_members(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key and root, the same for all rows that near copies lead to, of each row of docs."""
     prepare(docs.sparkSession)
     printed = materialize(simhash_components(docs, shingle=SHINGLE).select("doc_id", "row_key", "component_id"), "printed")
     texts = with_row_key(docs.select("text"), "text").select(F.col("row_key").alias("node"), "text")
@@ -170,6 +171,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     grown = apart.join(sets, "node").select("bucket", "node", "root", "shingles").repartition("bucket").sortWithinPartitions("bucket")
     links = materialize(links.unionByName(grown.mapInArrow(_grower, "u long, v long")), "links")
     roots = materialize(connected_components(links).select(F.col("u").alias("row_key"), "root"), "roots")
-    members = materialize(printed.select("doc_id", "row_key").join(roots, "row_key", "left").withColumn("root", F.coalesce("root", "row_key")), "members")
+    members = printed.select("doc_id", "row_key").join(roots, "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
+    return materialize(members, "members")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key and component_id, the smallest doc_id that near copies lead to, of each row of docs."""
+    members = near_members(docs)
     least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return members.join(least, "root").select("doc_id", "row_key", "component_id")
+
+
+def near_keepers(docs: DataFrame) -> DataFrame:
+    """doc_id and row_key of the one row that stays of each component: the smallest doc_id (nulls last), then the smallest row key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key")).alias("k")
+    return near_members(docs).groupBy("root").agg(first).select("k.doc_id", "k.row_key")
