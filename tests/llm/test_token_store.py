@@ -1,3 +1,4 @@
+import shutil
 import zlib
 
 import numpy as np
@@ -47,7 +48,7 @@ def test_store_round_trip(spark):
     back = {r["start"]: np.frombuffer(r["ids"], f"<u{store.id_bytes}") for r in S.read_documents(spark, store).collect()}
     assert {k: len(v) for k, v in back.items()} == {r[1]: r[2] for r in want}
     assert all(zlib.crc32(back[r[1]].astype("<u4").tobytes()) == r[3] for r in want)
-    digests = [r["digest"] for r in S._chunks(spark, store).select("digest").collect()]
+    digests = [r["digest"] for r in S._chunks(spark, store.path).select("digest").collect()]
     assert len(digests) == len(set(digests))
 
 
@@ -56,6 +57,44 @@ def test_empty_table(spark):
     assert S.verify_documents(spark, store).count() == 0
 
 
+def test_manifest_finds_what_happens_to_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "LEAVES", 8)
+    rows = [(None if i % 11 == 0 else i // 2, f"text {i} {TEXTS[i % 10]}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    at = tmp_path / "store"
+    store = S.write_store(docs, PATH, 1, path=str(at))
+    assert S.open_store(spark, str(at)) == store and S.check_manifest(spark, store).count() == 0
+    assert S.verify_documents(spark, store).filter("sound").count() == 400
+    levels = [r["level"] for r in S._manifest(spark, store.path).select("level").distinct().collect()]
+    assert max(levels) >= 2
+
+    def broken(change):
+        """What the manifest and the documents say after a change to a copy of the store."""
+        copy = tmp_path / "copy"
+        shutil.rmtree(copy, ignore_errors=True)
+        shutil.copytree(at, copy)
+        for crc in copy.rglob("*.crc"):
+            crc.unlink()
+        change(copy)
+        spark.catalog.clearCache()
+        return S.Store(str(copy), store.id_bytes, store.root)
+
+    files = lambda folder: sorted(folder.rglob("*.parquet"))
+    lost = broken(lambda c: files(c / "recipes")[0].unlink())
+    assert S.check_manifest(spark, lost).filter("found IS NULL").count() > 0
+    with pytest.raises(S.StoreDamaged):
+        S.verify_documents(spark, lost)
+    twice = broken(lambda c: shutil.copy(files(c / "recipes")[0], c / "recipes" / "again.parquet"))
+    assert S.check_manifest(spark, twice).count() > 0
+    other = S.write_store(docs.filter("doc_id != 7"), PATH, 1, path=str(tmp_path / "other"))
+    swapped = broken(lambda c: [shutil.rmtree(c / n) or shutil.copytree(tmp_path / "other" / n, c / n) for n in ("recipes", "manifest")])
+    assert S.check_manifest(spark, swapped).count() > 0 and S.check_manifest(spark, other).count() == 0
+    no_manifest = broken(lambda c: [f.unlink() for f in files(c / "manifest")])
+    assert S.check_manifest(spark, no_manifest).count() > 0
+    no_chunk = broken(lambda c: files(c / "packed" / "kind=1")[0].unlink())
+    assert S.check_manifest(spark, no_chunk).count() == 0 and S.verify_documents(spark, no_chunk).filter("NOT sound").count() > 0
+
+
 def test_damage_is_seen():
     with pytest.raises(ValueError, match="two contents"):
         rows = [(S.CHUNK, b"k", None, None, None, None, None, x) for x in (b"aa", b"bb")]
