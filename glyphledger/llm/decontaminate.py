@@ -15,27 +15,37 @@ runs of digits, letters a-z and characters beyond ASCII.  Null texts have no
 words, null items no windows.  Items repeated under one id count once, equal
 texts under two ids count as two.  Repeated documents each get their row.
 
-Nothing is shuffled.  The test windows are broadcast in blocks of at most
-BLOCK_BYTES of item text; with more than one block each goes over the documents
-after the other and adds to their spans.  Empty tables give empty results or,
-without items, clean documents.  keep must not name the columns of the result.
+Documents are not shuffled.  The test windows are packed in Spark tasks into
+blocks: the different words of some items, the items' words as numbers, where
+the different windows begin, and which items have them.  A block takes at most
+PACKED_BYTES, counted as it is sent; a longer item is cut into pieces that
+overlap.  One block is broadcast at a time.  If there are several, each goes
+over the documents after the other and adds to their spans, between them the
+documents are a table in the shared folder, and a block's broadcast ends with
+its pass: neither the driver nor a worker holds more than one.  Empty tables
+give empty results or, without items, clean documents.  Columns of keep that
+have a name of the result's give way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, prepare, utf8
+from .common import blocks, materialize, prepare, utf8
 
 WINDOW = 10
 SHARD_BYTES = 3 << 20
 SAMPLE = 32
-BLOCK_BYTES = 32 << 20
+PACKED_BYTES = 64 << 20
+#: Text that makes about one block, by which items are dealt to tasks that pack them.
+ITEM_BYTES = 16 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -161,17 +171,18 @@ class FMIndex:
         self.word_of = np.full(self.n, -1, np.int64)
         self.word_of[self.place] = np.arange(len(hashes))
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of suffixes that begin with each pattern: rows of hashes, as long as lengths says."""
-        at = np.searchsorted(self.known, patterns)
-        there = (at < len(self.known)) & (self.known[np.minimum(at, max(0, len(self.known) - 1))] == patterns) if len(self.known) else np.zeros(patterns.shape, bool)
-        columns = np.arange(patterns.shape[1])
-        live = np.flatnonzero((there | (columns >= lengths[:, None])).all(axis=1) & (lengths > 0))
-        low, high = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+    def search(self, hashes: np.ndarray, numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of suffixes that begin with each pattern: so many of numbers from each start, which stand for hashes."""
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        if not len(self.known) or not len(numbers):
+            return low, high
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        lacking = np.concatenate([[0], np.cumsum((self.known[at] != hashes)[numbers])])
+        live = np.flatnonzero((lacking[starts + lengths] == lacking[starts]) & (lengths > 0))
         high[live] = self.n
         for back in range(int(lengths.max(initial=0))):
             here = live[lengths[live] > back]
-            symbol = at[here, lengths[here] - 1 - back] + 2
+            symbol = at[numbers[starts[here] + lengths[here] - 1 - back]] + 2
             low[here] = self.first[symbol] + self.wavelet.rank(symbol, low[here])
             high[here] = self.first[symbol] + self.wavelet.rank(symbol, high[here])
             live = live[(high[live] > low[live])]
@@ -192,62 +203,136 @@ class FMIndex:
         return self.word_of[out % self.n]
 
 
-def windows_of(items: list[tuple[str, str]], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[bytes], list[list[str]]]:
-    """Test windows: their hashes (rows of size), lengths, words joined by a blank, and the items that have them."""
-    owners: dict[bytes, list[str]] = {}
-    for item, text in items:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        low, starts, ends, _ = words_of(raw, np.array([0, len(raw)]))
-        words = [low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            who = owners.setdefault(b" ".join(words[i : i + size]), [])
-            if item not in who:
-                who.append(item)
-    texts = list(owners)
-    patterns, lengths = np.zeros((len(texts), size), np.uint64), np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        raw = np.frombuffer(text, np.uint8)
-        low, starts, ends, _ = words_of(raw, np.array([0, len(raw)]))
-        patterns[k, : len(starts)] = hash_words(low, starts, ends)
-        lengths[k] = len(starts)
-    return patterns, lengths, texts, [owners[t] for t in texts]
-
-
-def _shard(raw, at, patterns, lengths, texts, owners):
+@dataclass
+class Windows:
+    """A block of test windows; see the module's text."""
+
+    hashes: np.ndarray  # of each different word
+    word_at: np.ndarray  # where its bytes begin in words, and the end
+    words: np.ndarray
+    numbers: np.ndarray  # the items' words, one item after another
+    starts: np.ndarray  # in numbers, of each different window
+    lengths: np.ndarray
+    owner_at: np.ndarray  # where its items begin in owners, and the end
+    owners: np.ndarray
+    items: list[str]
+
+    @property
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.word_at, self.words, self.numbers, self.starts, self.lengths, self.owner_at, self.owners)) + sum(map(len, self.items))
+
+
+def _same_bytes(low: np.ndarray, a: np.ndarray, a_end: np.ndarray, other: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether low[a:a_end] are the bytes other[b:b_end], for each of many ranges."""
+    size = a_end - a
+    same = size == b_end - b
+    a, b, n = a[same], b[same], size[same]
+    upto = np.cumsum(n) - n
+    step = np.arange(int(n.sum())) - np.repeat(upto, n)
+    equal = low[np.repeat(a, n) + step] == other[np.repeat(b, n) + step]
+    wrong = np.concatenate([[0], np.cumsum(~equal)])
+    same[np.flatnonzero(same)] = wrong[upto + n] == wrong[upto]
+    return same
+
+
+def _numbered(low, starts, ends):
+    """Different words' hashes (sorted) and first places, and the number of each word; words are told apart by their bytes, not by hashes alone."""
+    hashes = hash_words(low, starts, ends)
+    known, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
+    if len(hashes) and not _same_bytes(low, starts, ends, low, starts[first][numbers], ends[first][numbers]).all():
+        raise ValueError("two words of one block have one hash")  # 63 bits: about one chance in 10^6 for a billion different words
+    return known, first, numbers
+
+
+def windows_of(items: list[tuple[str, str]], size: int = WINDOW) -> Windows:
+    """Packs (item, text) rows: all steps are over whole arrays."""
+    names = sorted({i for i, _ in items})
+    code = {n: k for k, n in enumerate(names)}
+    raw, at = utf8(pa.array([t or "" for _, t in items], pa.large_string()))
+    low, starts, ends, bounds = words_of(raw, at)
+    known, first, numbers = _numbered(low, starts, ends)
+    n_words = np.diff(bounds)
+    n = np.where(n_words > 0, np.maximum(n_words - size + 1, 1), 0)
+    row = np.repeat(np.arange(len(items)), n)
+    begin = bounds[row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    length = np.minimum(n_words[row], size)
+    # Equal windows are neighbours after sorting by their words' numbers, column by column; what a shorter one lacks is -1.
+    order = np.arange(len(begin))
+    column = lambda k: np.where(k < length, numbers[np.minimum(begin + k, max(0, len(numbers) - 1))], -1)
+    for k in range(size - 1, -1, -1):
+        order = order[np.argsort(column(k)[order], kind="stable")]
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for k in range(size):
+        c = column(k)[order]
+        fresh[1:] |= c[1:] != c[:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    pairs = np.unique(np.column_stack([which, np.array([code[i] for i, _ in items], np.int64)[row]]), axis=0) if len(order) else np.zeros((0, 2), np.int64)
+    one = order[fresh]
+    word_size = (ends - starts)[first]
+    word_at = np.concatenate([[0], np.cumsum(word_size)])
+    words = low[np.repeat(starts[first] - word_at[:-1], word_size) + np.arange(word_at[-1])]
+    small = lambda x: x.astype(np.int32)
+    return Windows(known, word_at, words, small(numbers), small(begin[one]), length[one].astype(np.int8), small(np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))), small(pairs[:, 1]), names)
+
+
+def _shard(raw, at, tests: Windows):
     """(n_words, n_hit, spans, items) of each row; spans are pairs of word numbers, merged."""
     low, starts, ends, bounds = words_of(raw, at)
-    rows = len(at) - 1
     n_words = np.diff(bounds)
     out = [(int(n), 0, [], []) for n in n_words]
-    if not len(starts) or not len(texts):
+    if not len(starts) or not len(tests.starts):
         return out
-    index = FMIndex(hash_words(low, starts, ends), bounds)
-    a, b = index.search(patterns, lengths)
+    hashes = hash_words(low, starts, ends)
+    index = FMIndex(hashes, bounds)
+    begins, lengths = tests.starts.astype(np.int64), tests.lengths.astype(np.int64)
+    a, b = index.search(tests.hashes, tests.numbers, begins, lengths)
     count = b - a
-    which = np.repeat(np.arange(len(texts)), count)
+    which = np.repeat(np.arange(len(count)), count)
     if not len(which):
         return out
-    suffix = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + a[which]
-    begin = index.locate(suffix)
-    found: dict[int, tuple[list, set]] = {}
-    row_of = np.searchsorted(bounds, begin, "right") - 1
-    view = low.tobytes()
-    starts, ends = starts.tolist(), ends.tolist()
-    for w, g, r in zip(which.tolist(), begin.tolist(), row_of.tolist(), strict=True):
-        stop = g + int(lengths[w])
-        if b" ".join(view[starts[i] : ends[i]] for i in range(g, stop)) == texts[w]:
-            spans, items = found.setdefault(r, ([], set()))
-            spans.append((g, stop))
-            items.update(owners[w])
-    for r, (spans, items) in found.items():
-        merged = _union(spans, [])
-        base = int(bounds[r])
-        out[r] = (int(n_words[r]), sum(e - s for s, e in merged), [[s - base, e - base] for s, e in merged], sorted(items))
-    assert rows == len(out)
+    found = index.locate(np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + a[which])
+    sound = _confirmed(low, starts, ends, tests, which, found, begins, lengths)
+    which, found = which[sound], found[sound]
+    cover = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(cover, found, 1)
+    np.add.at(cover, found + lengths[which], -1)
+    hit = np.cumsum(cover[:-1]) > 0
+    row_of = np.searchsorted(bounds, np.arange(len(starts)), "right") - 1
+    # Spans end where the hits do, and at the ends of rows.
+    edge = np.concatenate([[True], (hit[1:] != hit[:-1]) | (row_of[1:] != row_of[:-1]), [True]])
+    runs = np.flatnonzero(edge)
+    runs = np.column_stack([runs[:-1], runs[1:]])[hit[runs[:-1]]]
+    rows, first = np.unique(row_of[runs[:, 0]], return_index=True)
+    rows, base, spans = rows.tolist(), bounds.tolist(), runs.tolist()
+    pairs = np.unique(np.column_stack([row_of[found], which]), axis=0)
+    n = (tests.owner_at[1:] - tests.owner_at[:-1]).astype(np.int64)[pairs[:, 1]]
+    owner = tests.owners[np.repeat(tests.owner_at[pairs[:, 1]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    owned = np.unique(np.column_stack([np.repeat(pairs[:, 0], n), owner]), axis=0)
+    cut = np.searchsorted(owned[:, 0], rows).tolist() + [len(owned)]
+    first = [*first.tolist(), len(spans)]
+    for k, r in enumerate(rows):
+        own = [[s - base[r], e - base[r]] for s, e in spans[first[k] : first[k + 1]]]
+        out[r] = (int(n_words[r]), sum(e - s for s, e in own), own, sorted({tests.items[i] for i in owned[cut[k] : cut[k + 1], 1].tolist()}))
     return out
 
 
+def _confirmed(low, starts, ends, tests: Windows, which, found, begins, lengths) -> np.ndarray:
+    """Whether the bytes of the words at each occurrence are those of the window: each word that is hit is compared with the test's word of its hash."""
+    n = lengths[which]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    here, there = np.repeat(found, n) + step, tests.numbers[np.repeat(begins[which], n) + step].astype(np.int64)
+    places, first = np.unique(here, return_index=True)  # one word has one hash, and one hash one word of the tests
+    same = np.ones(len(starts), bool)
+    same[places] = _same_bytes(low, starts[places], ends[places], tests.words, tests.word_at[there[first]], tests.word_at[there[first] + 1])
+    wrong = np.concatenate([[0], np.cumsum(~same[here])])
+    upto = np.cumsum(n)
+    return wrong[upto] == wrong[upto - n]
+
+
 RESULT = "n_words long, n_hit long, spans array<array<long>>, items array<string>"
+_ADDED = ("n_words", "n_hit", "spans", "items")
 
 
 def _union(spans: list, more: list) -> list:
@@ -265,43 +350,90 @@ def _finder(shared, names: list[str], again: bool):
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
 
     def run(batches):
-        tests = shared.value
+        tests = pickle.loads(shared.value) if shared else windows_of([])
         for batch in batches:
             col = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731,B023
             raw, at = utf8(col("text"))
             rows = []
             for i, j in blocks(at, SHARD_BYTES):
-                rows += _shard(raw[at[i] : at[j]], at[i : j + 1] - at[i], *tests)
+                rows += _shard(raw[at[i] : at[j]], at[i : j + 1] - at[i], tests)
             if again:
                 before = zip(rows, col("spans").to_pylist(), col("items").to_pylist(), strict=True)
                 rows = [(n, 0, _union(s, old), sorted({*i, *had})) for (n, _, s, i), old, had in before]
                 rows = [(n, sum(e - b for b, e in s), s, i) for n, _, s, i in rows]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(col(n) for n in names), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(col(n) for n in names), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, *_ADDED])
 
     return run
 
 
-def _item_blocks(benchmark: DataFrame, most: int) -> list[list[tuple[str, str]]]:
-    """Items in blocks of bounded size, fetched by a stream of partitions."""
-    out, size = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).orderBy("i", "t").toLocalIterator():
-        if size + len(r["t"]) > most and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"], r["t"]))
-        size += len(r["t"])
-    return out
+def _pieces(item: str, text: str, most: int, size: int):
+    """An item, cut into overlapping pieces if it is longer than a block; pieces keep every window whole."""
+    if len(text) <= most:
+        yield item, text
+        return
+    raw, at = utf8(pa.array([text], pa.large_string()))
+    low, starts, ends, _ = words_of(raw, at)
+    if len(starts) <= size:
+        yield item, text
+        return
+    a = 0
+    while True:
+        b = max(int(np.searchsorted(ends, starts[a] + most, "right")), a + size)
+        yield item, low[starts[a] : ends[min(b, len(ends)) - 1]].tobytes().decode("utf-8")
+        if b >= len(starts):
+            return
+        a = b - size + 1
+
+
+def _packer(size: int, most: int):
+    """Rows (item, text) into blocks of at most that size."""
+
+    def packed(items):
+        made = windows_of(items, size)
+        if made.size > most and len(items) > 1:
+            half = len(items) // 2
+            return packed(items[:half]) + packed(items[half:])
+        return [pickle.dumps(made)]
+
+    def run(batches):
+        held, chars = [], 0
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in _pieces(item, text, most // 8, size):
+                    held.append(piece)
+                    chars += len(piece[1])
+                    if chars > most // 2:
+                        for blob in packed(held):
+                            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["block"])
+                        held, chars = [], 0
+        for blob in packed(held) if held else []:
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["block"])
+
+    return run
+
+
+def pack_windows(benchmark: DataFrame, size: int = WINDOW, packed_bytes: int = PACKED_BYTES, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """(block): the benchmark's windows, packed by as many tasks as its text needs."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).filter(F.col("i").isNotNull() | (F.col("t") != ""))
+    rows = rows.select(F.coalesce("i", F.lit("")).alias("i"), "t")
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return rows.repartition(total // item_bytes + 1, F.xxhash64("i", "t")).mapInArrow(_packer(size, packed_bytes), "block binary")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = WINDOW, packed_bytes: int = PACKED_BYTES, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The columns keep of docs with n_words, n_hit, spans (of word numbers, merged) and items (sorted as strings)."""
     spark = prepare(docs.sparkSession)
+    keep = [k for k in keep if k not in _ADDED]
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = {n: rows.schema[n].dataType.simpleString() for n in rows.columns}
-    parts = _item_blocks(benchmark, block_bytes)
-    for k, part in enumerate(parts):
-        names = list(keep) if k == len(parts) - 1 else list(kinds)
-        schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), RESULT])
-        rows = rows.mapInArrow(_finder(spark.sparkContext.broadcast(windows_of(part, size)), names, k > 0), schema)
-    return rows
+    packed = materialize(pack_windows(benchmark, size, packed_bytes, item_bytes), "windows")
+    n, k, shared = packed.count(), 0, None
+    schema = lambda names: ", ".join([*(f"`{n}` {kinds[n]}" for n in names), RESULT])
+    for k, r in enumerate(packed.toLocalIterator()):
+        shared = spark.sparkContext.broadcast(bytes(r["block"]))
+        if k + 1 == n:
+            break
+        rows = materialize(rows.mapInArrow(_finder(shared, list(kinds), k > 0), schema(kinds)), "pass")
+        shared.destroy()
+    return rows.mapInArrow(_finder(shared, keep, k > 0), schema(keep))
