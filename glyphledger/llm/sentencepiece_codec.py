@@ -4,17 +4,20 @@ The model's protobuf is read field by field; from it come the normaliser, the
 marker for blanks, unigram scores (or, for BPE models, merges in the order of
 scores) and byte fallback of an equal tokenizers pipeline.
 
+The ids are those of that pipeline, and its decoder reads them back.  Beside it
+the sentencepiece library encodes the same text; where the two differ, parity is
+false.
+
 Where no piece has a marker after another character, a text's ids are those of
-its segments (a run of markers and what follows it; line feeds too begin one if
-no piece spans them), so each different segment is encoded once per worker, in
-multithreaded batches.  Every segment's ids are compared with those of the
-sentencepiece library when it is first seen; if they differ, sentencepiece's are
-used and parity is false for each text that has it.  Texts that the fast cut
-cannot handle (doubled blanks, blanks at the ends, markers in the text) go whole
-through both.  Each text is decoded again and compared.
+its segments (a run of blanks and what follows it; line feeds too begin one if
+no piece spans them), whatever the text: its segments are cut by the byte, each
+different one of a block is looked up, and those that are new to the worker are
+encoded, compared and decoded in multithreaded batches.  Segments of more than
+MEMO_CHARS are not kept, so what a worker remembers is bounded.  Other models
+take whole texts.
 
 Null texts are empty and have no ids; nothing is shuffled; repeated rows each
-get theirs.
+get theirs.  Columns of keep that have a name of the result's give way to it.
 """
 
 from __future__ import annotations
@@ -24,13 +27,12 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import blocks, prepare, utf8
 
 MARK = "▁"
-MEMO = 300_000
+MEMO, MEMO_CHARS = 300_000, 64
 BLOCK = 2 << 20
 THREADS = 2
 # Piece kinds and model types of the format.
@@ -124,7 +126,7 @@ class Model:
             steps += [normalizers.Prepend(MARK)] if self.prefix else []
             steps += [normalizers.Replace(" ", MARK)] if self.escape else []
             made.normalizer = normalizers.Sequence(steps)
-        strip = [decoders.Strip(" ", 1, 0)] if self.prefix else []
+        strip = [decoders.Strip(" ", 1, 0)] if self.prefix and whole else []
         made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
         return made
 
@@ -147,65 +149,65 @@ class Codec:
         self.reference, self.reference_part = m.reference(True), m.reference(False)
         self.by_segments = m.prefix and m.escape and not m.squeeze and not m.charsmap and not m.spans(MARK) and not any(kind == USER for *_, kind in m.pieces)
         self.at_lines = not any("\n" in p and len(p) > 1 for p, _, kind in m.pieces if kind == NORMAL)
-        self.memo: dict[str, tuple[bytes, bool]] = {}
-        texts = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
-        self.piece_bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self.piece_at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.memo: dict[str, tuple[bytes, bool, bool]] = {}
 
-    def _batch(self, tokenizer, texts: list[str]) -> list[list[int]]:
+    def _checked(self, tokenizer, reference, texts: list[str], marked: list[str] | None = None) -> list[tuple[bytes, bool, bool]]:
+        """Of each text: its ids, whether the sentencepiece library's are the same, and whether they decode to the text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _checked(self, tokenizer, reference, texts: list[str]) -> list[tuple[bytes, bool]]:
-        own, other = self._batch(tokenizer, texts), reference.encode(texts, num_threads=1)
-        return [(np.array(b, np.int32).tobytes(), a == b) for a, b in zip(own, other, strict=True)]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's begin (and the last's end), and parity of each text."""
-        texts = texts.fill_null("") if texts.null_count else texts
-        if not self.by_segments:
-            return self._joined(self._checked(self.whole, self.reference, texts.to_pylist()))
-        spaced = pc.replace_substring(texts, "\n", " \n") if self.at_lines else texts
-        odd = np.asarray(pc.or_(pc.match_substring(texts, MARK), pc.match_substring_regex(spaced, "^ | $|  ")))
-        odd |= np.asarray(pc.binary_length(texts)) == 0
-        cut = pc.split_pattern(pc.if_else(pa.array(odd), "", spaced), " ")
-        coded = cut.flatten().dictionary_encode()
-        segments = [s if s[:1] == "\n" else MARK + s for s in coded.dictionary.to_pylist()]
-        new = [s for s in segments if s not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = segments
-        self.memo.update(zip(new, self._checked(self.part, self.reference_part, new), strict=True))
-        found = [self.memo[s] for s in segments]
-        size = np.array([len(x) // 4 for x, _ in found], np.int64)
+        own = [e.ids for e in tokenizer.encode_batch_fast(marked or texts, add_special_tokens=False)]
+        other, back = reference.encode(texts, num_threads=1), tokenizer.decode_batch(own, skip_special_tokens=True)
+        return [(np.array(a, np.int32).tobytes(), a == b, c == t) for a, b, c, t in zip(own, other, back, texts, strict=True)]
+
+    def _cut(self, raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all rows, a blank before each row that is not empty, and where each row's begin and the last's end."""
+        full = at[1:] > at[:-1]
+        text = np.insert(raw, at[:-1][full], 32)
+        at = at + np.concatenate([[0], np.cumsum(full)])
+        blank = text == 32
+        mark = np.flatnonzero((text[:-2] == 0xE2) & (text[1:-1] == 0x96) & (text[2:] == 0x81))  # a marker in a text is a blank to the model
+        blank[(mark[:, None] + np.arange(3)).reshape(-1)] = True
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[at[:-1][full]] = True
+        if self.at_lines:
+            begins |= text == 10
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts, len(text)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes())), np.searchsorted(starts, at)
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's begin (and the last's end), and of each text whether both libraries agree and whether it decodes to itself."""
+        if self.by_segments:
+            cut, row_at = self._cut(raw, at)
+            coded = cut.dictionary_encode()
+            known, which = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+            found = self._looked_up(known)
+        else:
+            data = raw.tobytes()
+            known = [data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            found, which, row_at = self._checked(self.whole, self.reference, known), np.arange(len(known)), np.arange(len(known) + 1)
+        size = np.array([len(x) // 4 for x, _, _ in found], np.int64)
         begin = np.cumsum(size) - size
-        sound = np.array([x for _, x in found], bool)
-        which = np.asarray(coded.indices)
-        pool = np.frombuffer(b"".join(x for x, _ in found), np.int32)
+        pool = np.frombuffer(b"".join(x for x, _, _ in found), np.int32)
         n = size[which]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = pool[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])]
-        at = np.asarray(cut.offsets).astype(np.int64)
-        at = at - at[0]
-        bounds, wrong = ends[at], np.concatenate([[0], np.cumsum(~sound[which])])
-        parity = wrong[at[1:]] == wrong[at[:-1]]
-        if not odd.any():
-            return ids, bounds, parity
-        strange = np.flatnonzero(odd)
-        by_row = dict(zip(strange.tolist(), self._checked(self.whole, self.reference, texts.take(pa.array(strange)).to_pylist()), strict=True))
-        return self._joined([by_row[i] if i in by_row else (ids[bounds[i] : bounds[i + 1]].tobytes(), bool(parity[i])) for i in range(len(texts))])
-
-    @staticmethod
-    def _joined(rows: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x, _ in rows])]).astype(np.int64)
-        return np.frombuffer(b"".join(x for x, _ in rows), np.int32), ends, np.array([ok for _, ok in rows], bool)
-
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The texts' bytes, one after another, and where each begins; a text's first blank is the prefix, not its own."""
-        size = np.diff(self.piece_at)[ids]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        data = self.piece_bytes[np.repeat(self.piece_at[ids] - upto[:-1], size) + np.arange(upto[-1])]
-        return data.tobytes(), upto[ends]
+
+        def throughout(k):
+            wrong = np.concatenate([[0], np.cumsum(~np.array([x[k] for x in found], bool)[which])])
+            return wrong[row_at[1:]] == wrong[row_at[:-1]]
+
+        return ids, ends[row_at], throughout(1), throughout(2)
+
+    def _looked_up(self, segments: list[str]) -> list[tuple[bytes, bool, bool]]:
+        new = [s for s in segments if s not in self.memo]
+        fresh = dict(zip(new, self._checked(self.part, self.reference_part, new, [s.replace(" ", MARK) for s in new]), strict=True)) if new else {}
+        found = [fresh.get(s) or self.memo[s] for s in segments]
+        short = {s: x for s, x in fresh.items() if len(s) <= MEMO_CHARS}
+        if len(self.memo) + len(short) > MEMO:
+            self.memo.clear()
+        self.memo.update(short)
+        return found
 
 
 _codecs: dict[str, Codec] = {}
@@ -218,25 +220,22 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+_ADDED = ("ids", "n_tokens", "parity", "round_trip")
+
+
 def _encoding(path: str, keep: list[str]):
     def run(batches):
         own = codec(path)
         for batch in batches:
             col = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731,B023
-            texts = col("text")
-            raw, at = utf8(texts)
-            parts = []
-            for a, b in blocks(at, BLOCK):
-                ids, ends, parity = own.encode(texts.slice(a, b - a))
-                data, bounds = own.decode(ids, ends)
-                skip = 1 if own.model.prefix else 0
-                whole = raw[at[a] : at[b]].tobytes()
-                base = at[a]
-                trip = [(data[bounds[i] : bounds[i + 1]][skip:] if ends[i + 1] > ends[i] else b"") == whole[at[a + i] - base : at[a + i + 1] - base] for i in range(b - a)]
-                parts.append((ids, np.diff(ends), parity, np.array(trip, bool)))
-            ids, sizes, parity, trip = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(col(n) for n in keep), lists, pa.array(sizes), pa.array(parity), pa.array(trip)], names=[*keep, "ids", "n_tokens", "parity", "round_trip"])
+            raw, at = utf8(col("text"))
+            none = (np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool))
+            parts = [own.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in blocks(at, BLOCK)] or [none]
+            ids, bounds, parity, trip = zip(*parts, strict=True)
+            sizes = np.concatenate([np.diff(x) for x in bounds])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+            added = [lists, pa.array(sizes), pa.array(np.concatenate(parity)), pa.array(np.concatenate(trip))]
+            yield pa.RecordBatch.from_arrays([*(col(n) for n in keep), *added], names=[*keep, *_ADDED])
 
     return run
 
@@ -244,9 +243,10 @@ def _encoding(path: str, keep: list[str]):
 def encode_sentencepiece(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """The columns keep of docs with ids, n_tokens, parity and round_trip."""
     prepare(docs.sparkSession)
+    keep = [k for k in keep if k not in _ADDED]
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep)
-    return rows.mapInArrow(_encoding(path, keep), f"{kinds}, ids array<int>, n_tokens long, parity boolean, round_trip boolean")
+    kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in keep)
+    return rows.mapInArrow(_encoding(path, keep), f"{kinds}ids array<int>, n_tokens long, parity boolean, round_trip boolean")
 
 
 def _decoding(path: str, keep: list[str]):

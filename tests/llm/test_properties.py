@@ -31,9 +31,11 @@ def test_word_encoder(rows):
 @many
 @given(texts)
 def test_sentencepiece(rows):
-    ids, at, parity = CODEC.encode(pa.array(rows, pa.string()))
+    ids, at, parity, trip = CODEC.encode(*utf8(pa.array(rows, pa.string())))
     for i, t in enumerate(rows):
-        assert ids[at[i] : at[i + 1]].tolist() == PROCESSOR.encode(t or "")
+        own = ids[at[i] : at[i + 1]].tolist()
+        assert own == PROCESSOR.encode(t or "")
+        assert (CODEC.whole.decode(own) == (t or "")) == trip[i]
     assert parity.all()
 
 

@@ -4,6 +4,7 @@ import pyarrow as pa
 import sentencepiece
 
 from glyphledger.llm import sentencepiece_codec as C
+from glyphledger.llm.common import utf8
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -15,13 +16,31 @@ TEXTS = [
 def test_ids_equal_the_library():
     own, lib = C.Codec(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert own.by_segments and own.at_lines
-    ids, ends, parity = own.encode(pa.array(TEXTS))
+    ids, ends, parity, trip = own.encode(*utf8(pa.array(TEXTS)))
     for i, t in enumerate(TEXTS):
         assert ids[ends[i] : ends[i + 1]].tolist() == lib.encode(t or ""), t and t[:40]
-    assert parity.all()
-    for i, t in enumerate(TEXTS):
-        got, _ = C.Codec(PATH).encode(pa.array([t], pa.string()))[:2] if i < 3 else (None, None)
-        assert got is None or got.tolist() == lib.encode(t or "")
+        assert own.whole.decode(ids[ends[i] : ends[i + 1]].tolist()) == (t or "").replace(C.MARK, " ")
+        alone = C.Codec(PATH).encode(*utf8(pa.array([t], pa.string())))[0] if i < 3 else None
+        assert alone is None or alone.tolist() == lib.encode(t or "")
+    assert parity.all() and trip.tolist() == [C.MARK not in (t or "") for t in TEXTS]
+    assert max(map(len, own.memo)) <= C.MEMO_CHARS
+    own.by_segments = False
+    whole = own.encode(*utf8(pa.array(TEXTS)))
+    assert all((x == y).all() for x, y in zip(whole, (ids, ends, parity, trip), strict=True))
+
+
+def test_ids_are_the_backends_and_parity_tells_when_they_are_wrong():
+    own = C.Codec(PATH)
+    model = own.model
+    pieces = {p: i for i, (p, _, _) in enumerate(model.pieces)}
+    swapped = [(p.replace("▁the", "▁teh") if p in ("▁the", "▁teh") else p, s, k) for p, s, k in model.pieces]
+    broken = C.Model(model.data)
+    broken.pieces = swapped
+    own.part = broken.backend(False)
+    ids, ends, parity, trip = own.encode(*utf8(pa.array(["see the end", "see an end"])))
+    assert parity.tolist() == [False, True] and pieces["▁the"] not in ids.tolist()
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert ids[: ends[1]].tolist() != lib.encode("see the end") and ids[ends[1] :].tolist() == lib.encode("see an end")
 
 
 def test_wire_format_and_unigram_backend():
