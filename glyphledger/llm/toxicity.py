@@ -14,22 +14,26 @@ kept, so a word costs one step per letter whatever the lexicon's size.  Digits
 and signs that stand for letters are read as those letters.
 
 Score.  A hit has its term's weight, less for misspellings, and much less where
-its window shows quotation: quotation marks on both sides or a reporting word
-nearby, and no address ("you", "du", ...) in it.  A logistic regression over
-strongest hit, sum of hits, share of words hit and fuzzy-only hits, regularised
-towards sensible weights so that it does not depend on the sample for kinds it
-has not seen, gives the score.  Words that happen to be near a term are no
-misspellings of it if they stand in several clean texts of the sample, and not
-far more often in toxic ones.
+it is quoted: it lies between two paired quotation marks of its line, and of the
+six words on either side one reports speech or none addresses the reader ("you",
+"du", ...); a reporting word alone lessens it a little.  A logistic regression,
+drawn to sensible weights so that it does not depend on the sample for kinds it
+has not seen, makes the score of the strongest hit, the sums of sure and of
+unsure hits, their share among the words and the number of sure ones.  Unsure
+are misspellings of words that a stem covers: in inflecting languages such words
+lie near ordinary ones.  Words that happen to be near a term are no misspellings
+of it if they stand in several clean texts of the sample, and not far more often
+in toxic ones.
 
 Null and empty texts have no hits and get the score of such a text.  Labels
 that are null do not count.  Without labels of both classes the lexicon is
 empty and all scores are equal and below a half.  Repeated rows each get their
-score; other columns are ignored.
+score; a column of the score's name gives way to it, other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -44,10 +48,12 @@ from .common import held_out, prepare
 
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20_000
-MAX_TERMS = 1000
+#: Automaton states kept; beyond them the automaton begins anew.
+MAX_STATES = 200_000
 MIN_FUZZY, MIN_FUZZY_2 = 5, 10
+STEM_ODDS = 2.0
 WINDOW = 6
-MEMO = 200_000
+MEMO, MEMO_CHARS = 200_000, 64
 
 # Letters that digits and signs stand for, words that report speech, words that address a reader.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -55,10 +61,12 @@ REPORTING = frozenset("said says quote quoted quotes wrote called word words ter
 ADDRESS = frozenset("you your youre u du dich dein ihr euch sie tu toi vous ton ta tú usted eres are".split())
 
 _WORD = re.compile(r"[\w@$]+(?:[*][\w@$]+)*")
-_OPEN, _CLOSE = re.compile(r"[\"“„«‹»]"), re.compile(r"[\"”“»›«]")
+_QUOTE = re.compile("[\"“”„«»‹›\n]")
+# What closes a quotation that a mark opens.
+_PAIRS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹"}
 
-#: Logistic weights that the fit is drawn to: bias, strongest hit, sum of hits, share of words hit, fuzzy hits only.
-PRIOR = (-3.0, 6.0, 1.0, 1.0, -0.5)
+#: Logistic weights that the fit is drawn to: bias, strongest hit, sums of sure and of unsure hits, hits among the words, number of sure hits.
+PRIOR = (-3.0, 5.0, 1.0, 0.5, 1.0, 1.0)
 
 
 def edits_allowed(term: str) -> int:
@@ -92,6 +100,9 @@ class TrieAutomaton:
                 self.reach[node] = max(self.reach[node], most)
             (self.stem if is_stem else self.word)[node] = k
         self.letters = {c for kids in self.children for c in kids}
+        self._begin()
+
+    def _begin(self) -> None:
         self._states: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._next: list[dict[str, int]] = []
@@ -139,6 +150,8 @@ class TrieAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the best term for the whole word or, without edits, for its beginning."""
+        if len(self._sets) > MAX_STATES:
+            self._begin()
         state, node, stem = self._start, 0, -1
         for c in word:
             if node is not None:
@@ -173,7 +186,7 @@ def distinct_texts(texts: list[str]) -> list[int]:
     return out
 
 
-def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, share: float = 0.01, odds: float = 3.5) -> list[tuple[str, bool, float]]:
+def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, share: float = 0.01, odds: float = 3.5, stem_odds: float = STEM_ODDS) -> list[tuple[str, bool, float]]:
     """Terms (text, is_stem, weight 0..1) by the smoothed log odds of standing in a toxic text; copies count once."""
     once = distinct_texts(texts)
     texts, toxic = [texts[i] for i in once], [toxic[i] for i in once]
@@ -196,7 +209,7 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, share: flo
     def lean(b, g):
         return math.log((b + 0.5) / (n_bad + 1)) - math.log((g + 0.5) / (n_good + 1))
 
-    stems = {s: lean(b, stems_good[s]) for s, b in stems_bad.items() if b >= 2 * least and len(forms[s]) >= 4 and lean(b, stems_good[s]) >= odds}
+    stems = {s: lean(b, stems_good[s]) for s, b in stems_bad.items() if b >= 2 * least and len(forms[s]) >= 4 and lean(b, stems_good[s]) >= stem_odds}
     # The shortest stem that is not much less pure than its continuations, and the longest of those with the same texts.
     chosen: dict[str, float] = {}
     for s in sorted(stems, key=lambda s: (len(s), s)):
@@ -207,61 +220,84 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, share: flo
     words = {w: lean(b, good[w]) for w, b in bad.items() if b >= least and len(w) > 2 and lean(b, good[w]) >= odds}
     # Stems match without edits: words that one covers stay for their misspellings, after all others.
     covered = {w for w, x in words.items() if any(w.startswith(t) and chosen[t] >= x - 0.5 for t in chosen)}
-    ranked = sorted([(w, False, x) for w, x in words.items()] + [(w, True, x) for w, x in chosen.items()], key=lambda t: (not t[1] and t[0] in covered, -t[2], t[0]))[:MAX_TERMS]
+    ranked = sorted([(w, False, x) for w, x in words.items()] + [(w, True, x) for w, x in chosen.items()], key=lambda t: (not t[1] and t[0] in covered, -t[2], t[0]))
     return [(w, s, min(1.0, x / 6)) for w, s, x in ranked]
 
 
-def _context(text: str, start: int, end: int) -> float:
-    """What a hit counts where it stands: 1, or 0.25 where the window shows quotation."""
-    left, right = text[max(0, start - 10 * WINDOW) : start], text[end : end + 10 * WINDOW]
-    words = _WORD.findall(left)[-WINDOW:] + _WORD.findall(right)[:WINDOW]
-    marked = bool(_OPEN.search(left)) and bool(_CLOSE.search(right))
-    reported = not REPORTING.isdisjoint(words)
-    return 0.25 if marked and (reported or ADDRESS.isdisjoint(words)) else 0.6 if reported else 1.0
+def quoted_ranges(text: str) -> list[tuple[int, int]]:
+    """Ranges between paired quotation marks of one line, in order; a mark without a partner quotes nothing."""
+    out, opened, closers = [], -1, ""
+    for x in _QUOTE.finditer(text):
+        c, at = x[0], x.start()
+        if c == "\n":
+            opened = -1
+        elif opened >= 0 and c in closers:
+            if c != '"' or not text[at - 1].isspace():
+                out.append((opened + 1, at))
+                opened = -1
+        elif opened < 0 and c in _PAIRS:
+            after = text[at + 1 : at + 2]
+            if c != '"' or (after and not after.isspace() and not text[at - 1 : at].isalnum()):
+                opened, closers = at, _PAIRS[c]
+    return out
+
+
+def _context(words: list[re.Match], i: int, quoted: list[tuple[int, int]]) -> float:
+    """What the hit words[i] counts where it stands: 1, less where a reporting word is near, 0.25 if it lies inside quotation marks."""
+    near = [w[0] for w in words[max(0, i - WINDOW) : i]] + [w[0] for w in words[i + 1 : i + 1 + WINDOW]]
+    k = bisect.bisect_right(quoted, (words[i].start(), math.inf)) - 1
+    marked = k >= 0 and words[i].end() <= quoted[k][1]
+    reported = not REPORTING.isdisjoint(near)
+    return 0.25 if marked and (reported or ADDRESS.isdisjoint(near)) else 0.6 if reported else 1.0
 
 
 class Scorer:
     def __init__(self, terms, weights=PRIOR, innocent=()):
         self.automaton, self.terms, self.weights, self.memo, self.innocent = TrieAutomaton(terms), terms, np.array(weights), {}, frozenset(innocent)
+        self.weight = {t: w for t, _, w in terms}
+        stems = [t for t, is_stem, _ in terms if is_stem]
+        self.covered = {t for t, is_stem, _ in terms if not is_stem and any(t.startswith(x) for x in stems)}
 
     def hits(self, text: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, term, edits, value) of each hit."""
         text = text.lower()
         memo, found = self.memo, set()
-        words = _WORD.findall(text)
-        for w in set(words):
+        words = list(_WORD.finditer(text))
+        for w in {x[0] for x in words}:
             m = memo.get(w, 0)
             if m == 0:
                 m = None if w in self.innocent else self.automaton.match(w.translate(LEET) if not w.isalpha() else w)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[w] = m
+                if len(w) <= MEMO_CHARS:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[w] = m
             if m:
                 found.add(w)
         if not found:
             return []
-        out = []
-        for x in _WORD.finditer(text):
+        out, quoted = [], quoted_ranges(text)
+        for i, x in enumerate(words):
             if x[0] in found:
                 edits, term = memo.get(x[0]) or self.automaton.match(x[0].translate(LEET))
-                out.append((x.start(), x.end(), self.terms[term][0], edits, self.terms[term][2] * 0.8**edits * _context(text, x.start(), x.end())))
+                out.append((x.start(), x.end(), self.terms[term][0], edits, self.terms[term][2] * 0.8**edits * _context(words, i, quoted)))
         return out
 
     def features(self, text: str) -> list[float]:
         hits = self.hits(text)
         if not hits:
-            return [1.0, 0.0, 0.0, 0.0, 0.0]
-        values = [h[4] for h in hits]
-        return [1.0, max(values), math.log1p(sum(values)), min(1.0, 20 * len(hits) / (1 + text.count(" "))), float(all(h[3] for h in hits))]
+            return [1.0] + [0.0] * (len(PRIOR) - 1)
+        sure = [h[4] for h in hits if not h[3] or h[2] not in self.covered]
+        count = sum(h[4] / self.weight[h[2]] for h in hits if not h[3] or h[2] not in self.covered)  # a quoted or misspelt one is less than one
+        unsure = [h[4] for h in hits if h[3] and h[2] in self.covered]
+        total = sum(sure) + sum(unsure)
+        return [1.0, max(sure + unsure), math.log1p(sum(sure)), math.log1p(sum(unsure)), min(1.0, 20 * total / (1 + text.count(" "))), min(count, 4) / 2]
 
     def score(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts]).reshape(-1, len(PRIOR))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to PRIOR."""
-    prior = np.array(PRIOR)
+def _newton(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float) -> np.ndarray:
     w = prior.copy()
 
     def loss(w):
@@ -279,6 +315,19 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0) -> np.ndarray:
     return w
 
 
+def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn to PRIOR; a weight that would count a hit against toxicity is zero."""
+    prior, free = np.array(PRIOR), np.ones(len(PRIOR), bool)
+    while True:
+        w = np.zeros(len(prior))
+        w[free] = _newton(x[:, free], y, prior[free], pull)
+        against = w < 0
+        against[0] = False
+        if not against.any():
+            return w
+        free &= ~against
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """(text, label) of at most so many rows of each class, none of them held out; the bound holds for what the driver gets."""
     ids = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
@@ -334,5 +383,5 @@ def _scoring(model, name):
 def score_toxicity(docs: DataFrame, model, keep: list[str], name: str = "score") -> DataFrame:
     """The columns keep and text of docs with their score, in a column of that name; no row moves."""
     prepare(docs.sparkSession)
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.select(*dict.fromkeys([*(k for k in keep if k != name), "text"]))
     return rows.mapInArrow(_scoring(model, name), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{name}` double")
