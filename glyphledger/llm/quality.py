@@ -4,8 +4,8 @@ Every line of a text (split at line feeds) has features of its own bytes and of
 its neighbours': shares of letters, capitals, digits, signs and pipes, lengths,
 words repeated at once or within the line, lines said before.  A chain over two
 states, good and bad, gives each line's marginal probability by the forward-
-backward algorithm; their mean, weighted by the lines' lengths, and the worst
-line make the document's quality, which a logistic map learned from the labels
+backward algorithm; their mean, weighted by the lines' lengths, is the document's
+quality, whose log odds a logistic map of two numbers, learned from the labels,
 turns into a score.
 
 The labels are of documents.  The fit begins with each line labelled as its
@@ -16,6 +16,7 @@ held out; a hash of the id decides which.  Scoring reads every line of every
 text, in a stream; nothing is shuffled.
 
 Null and empty texts are one empty line.  Repeated rows each get their score.
+A column named score gives way to the result's; other columns are ignored.
 Without labels of both classes every score is a half.
 """
 
@@ -196,12 +197,9 @@ def fit_chain(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarra
 
 
 def _summary(p: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each row: one, log odds of the weighted mean marginal, of the worst line, and the rows' log length."""
-    total = np.add.reduceat(size, first[:-1])
-    mean = np.clip(np.add.reduceat(p * size, first[:-1]) / total, 1e-4, 1 - 1e-4)
-    worst = np.clip(np.minimum.reduceat(p, first[:-1]), 1e-4, 1 - 1e-4)
-    odds = lambda q: np.log(q / (1 - q))
-    return np.column_stack([np.ones(len(mean)), odds(mean), odds(worst), np.log(total) / 5])
+    """Of each row: one, and the log odds of the mean marginal of its lines, weighted by their lengths."""
+    mean = np.clip(np.add.reduceat(p * size, first[:-1]) / np.add.reduceat(size, first[:-1]), 1e-4, 1 - 1e-4)
+    return np.column_stack([np.ones(len(mean)), np.log(mean / (1 - mean))])
 
 
 class Quality:
@@ -219,7 +217,7 @@ def fit(texts: list[str], good: list[int], share: float | None = None) -> Qualit
     raw, at = utf8(pa.array(texts, pa.large_string()))
     y = np.array(good, float)
     if not len(y) or y.min() == y.max():
-        return Quality(Chain(np.zeros(3 * _OWN + 3), np.zeros(3)), np.zeros(4))
+        return Quality(Chain(np.zeros(3 * _OWN + 3), np.zeros(3)), np.zeros(2))
     parts = [line_features(raw[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in blocks(at, BLOCK)]
     x, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
@@ -234,11 +232,11 @@ def fit(texts: list[str], good: list[int], share: float | None = None) -> Qualit
     z = _summary(p, size, first)
     share = y.mean() if share is None else share
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    link = np.array([0.0, 0.5, 0.5, 0.0])
+    link = np.array([0.0, 1.0])
     prior = link.copy()
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(z @ link, -40, 40)))
-        step = np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.eye(4), z.T @ (w * (y - q)) - (link - prior))
+        step = np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.eye(2), z.T @ (w * (y - q)) - (link - prior))
         link = link + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-7:
             break
@@ -270,6 +268,7 @@ def _scoring(model: Quality):
 def score_quality(docs: DataFrame, model: Quality, keep: list[str]) -> DataFrame:
     """The columns keep (not text) of docs with score."""
     prepare(docs.sparkSession)
+    keep = [k for k in keep if k not in ("text", "score")]
     rows = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep)
-    return rows.mapInArrow(_scoring(model), f"{kinds}, score double")
+    kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in keep)
+    return rows.mapInArrow(_scoring(model), f"{kinds}score double")

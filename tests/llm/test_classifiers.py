@@ -48,6 +48,13 @@ def test_context_and_odd_texts():
     s = T.Scorer(TERMS)
     plain, quoted = s.score(["You are an idiot and worthless"])[0], s.score(['They wrote "idiot" in the report'])[0]
     assert plain > 0.5 > quoted
+    words = "idiot and worthless"
+    for text in (f'"Hello," they smiled, then {words} scum, "bye"', f'"a" {words} "b"', f"«a» {words} «b»", f'"open {words}\nand "so on"', f'5" {words} 6"'):
+        assert s.score([text])[0] > 0.5, text
+    for text in (f'They said "{words}" once', f"„{words}“ stand da", f"«{words}»", f"»{words}«", f'"well, {words}"'):
+        assert s.score([text])[0] < 0.5, text
+    far = ["x" * 40] * 5
+    assert s.hits(" ".join(["said", *far, "idiot"]))[0][4] < 1 == s.hits(" ".join(["said", "y", *far, "idiot"]))[0][4]
     assert s.score(["1d1ot w0rthless"])[0] > 0.5 and s.score(["", " ", "?!"]).max() < 0.5
     assert T.Scorer([]).score(["anything", ""]).tolist() == T.Scorer([]).score(["", ""]).tolist()
 
@@ -98,6 +105,69 @@ def test_one_clean_row_switches_no_misspelling_off(spark):
     assert s.hits("an idoit") and not s.hits("an idiom")
 
 
+def test_no_term_is_dropped_and_states_are_bounded(monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(p) for p in itertools.islice(itertools.product(letters, "aeiou", letters, "xz"), 1500)]
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(words, 200, replace=False)) for _ in range(300)] + [f"plain d{i} e{i} f{i}" for i in range(300)]
+    terms = T.learn_lexicon(texts, [1] * 300 + [0] * 300, stem_odds=99)
+    assert {t for t, _, _ in terms} == set(words)
+    monkeypatch.setattr(T, "MAX_STATES", 40)
+    small, auto = T.TrieAutomaton(TERMS), T.TrieAutomaton(TERMS)
+    for w in ["".join(np.random.default_rng(i).choice(list("idotwrhles"), 7)) for i in range(500)] + ["idoit"]:
+        small_says = small.match(w)
+        monkeypatch.setattr(T, "MAX_STATES", 10**9)
+        assert auto.match(w) == small_says
+        monkeypatch.setattr(T, "MAX_STATES", 40)
+    assert len(small._sets) < len(auto._sets)
+
+
+@pytest.mark.parametrize("name", ["op1_quality", "op9_toxicity"])
+def test_queries_score_every_row(spark, tmp_path, name):
+    """The registered queries against a fit and a score of the same rows, one by one."""
+    from glyphledger.llm import queries
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(["ka", "ro", "mi", "tel", "ans"], 3))
+    rows, labels = [], []
+    for i in range(400):
+        bad, junk = i % 5 == 0, i % 7 == 0
+        lines = [" ".join(word() for _ in range(12)) + "." for _ in range(4)]
+        lines[1] += " you zonkhead and blurfy" if bad else ""
+        lines += ["BUY!! NOW!! | BUY!! NOW!!"] * 3 if junk else []
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(not junk) if i % 30 else None, int(bad) if i % 31 else None))
+    long = rows[5][1] * 2000
+    rows += [(1000, None), (1001, ""), (None, "no id"), (7, rows[7][1]), (7, rows[7][1]), (1002, long)]
+    docs = spark.createDataFrame([(*r, 0.5, 1) for r in rows], "doc_id long, text string, score double, toxicity int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "held_out", "score", "predicted"]
+    marks = {d: (q, t) for d, q, t in labels}
+    k, least = (0, 0.3) if name == "op1_quality" else (1, 0.5)
+    assert all(r["predicted"] == int(r["score"] >= least) and 0 <= r["score"] <= 1 for r in got)
+    seen = [(r["predicted"], marks[r["doc_id"]][k]) for r in got if r["doc_id"] in marks and r["held_out"] and marks[r["doc_id"]][k] is not None]
+    assert len(seen) > 60 and np.mean([a == b for a, b in seen]) > 0.97
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(v) == 1 for v in by.values()) and len(by[7]) == 1
+    whole = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")
+    marked = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    if k:
+        one = T.Scorer(*T.fit_toxicity(whole, marked))
+        want = {d: float(one.score([t or ""])[0]) for d, t in rows}
+    else:
+        model = Q.fit_quality(whole, marked)
+        want = {d: float(model.score(*utf8(pa.array([t or ""])))[0]) for d, t in rows}
+    assert all(abs(next(iter(by[d])) - want[d]) < 1e-6 for d in want)
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    none.write.parquet(f"{tmp_path}/none/documents.parquet")
+    marked.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+
+
 def test_lines():
     texts = ["a\nb\n", "", "\n", "x", "\n\ny\n", " é\nq", None]
     raw, at = utf8(pa.array(texts))
