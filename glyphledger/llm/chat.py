@@ -7,9 +7,9 @@ message says so far; "regenerate" empties it, later deltas fill it again;
 kinds do nothing.  A message without a start has the role of its first row that
 names one.  Messages stand in the order of their first event; ties by msg.
 
-Fold.  Events meet by (conv_id, msg), sorted by sequence: a message is the unit
-that must fit a row anyway, so a conversation with a third of all rows spreads
-over all tasks.  Rendering and reading back go through a conversation's
+Fold.  A log is partitioned by conversation and, within it, by message, each
+sorted by sequence: a message is the unit that must fit a row anyway, so a
+conversation with a third of all rows spreads over all tasks.  Rendering and reading back go through a conversation's
 messages in order as a stream, with memory for one Arrow batch.
 
 Template.  ``### Role: text</turn>\n`` per message.  Inside roles and texts a
@@ -36,21 +36,34 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 EVENTS = "conv_id long, seq long, msg long, kind string, role string, text string"
 
 
-def events_of(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
+def events_of(turns: DataFrame, delta_chars: int = DELTA_CHARS, revised: bool = False) -> DataFrame:
     """A table of whole turns (conv_id, turn, role, text) as a log: a start, then deltas.
 
+    With revised it is the log of a chat in which things changed on the way to
+    the same turns: a third of the messages were drafted and regenerated, a third
+    begun otherwise and edited, and beside some stood one that was deleted.
     Every row is a message of its own, so repeated rows stay repeated.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("msg"),
-    )
-    starts = F.sequence(F.lit(0), F.ceil(F.length("text") / F.lit(delta_chars)).cast("int"))
-    part = F.when(F.col("n") > 0, F.expr(f"substring(text, (n - 1) * {delta_chars} + 1, {delta_chars})"))
-    return rows.withColumn("n", F.explode(starts)).select(
-        "conv_id", (F.col("turn") * 2**24 + F.col("n")).alias("seq"), "msg",
-        F.when(F.col("n") == 0, "start").otherwise("delta").alias("kind"), F.when(F.col("n") == 0, F.col("role")).alias("role"), part.alias("text"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.monotonically_increasing_id() * 2).alias("msg"),
     )
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(3)) if revised else F.lit(0)
+    rows = rows.withColumn("way", kind.cast("int")).withColumn("parts", F.ceil(F.length("text") / F.lit(delta_chars)).cast("int"))
+    way, n = F.col("way"), F.col("n")
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.when(way == 2, F.greatest("parts", F.lit(1)) + 1).otherwise(F.col("parts") + way * 2))))
+    first = F.when(way == 0, n).when(way == 1, n - 2).otherwise(n - 1)  # the part of the text that an event holds
+    what = F.when(n == 0, "start").when((way == 1) & (n == 2), "regenerate").when((way == 2) & (n == 2), "edit").otherwise("delta")
+    draft = (way > 0) & (n == 1)
+    said = F.when(draft, F.concat(F.lit("a draft of "), "role")).when(F.col("what").isin("delta", "edit"), F.substring(F.col("text"), (first - 1) * delta_chars + 1, F.lit(delta_chars)))
+    rows = rows.withColumn("what", what)
+    log = rows.select("conv_id", (F.col("turn") * 2**24 + n).alias("seq"), "msg", F.col("what").alias("kind"), F.when(n == 0, F.col("role")).alias("role"), said.alias("text"))
+    if not revised:
+        return log
+    gone = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("i")) for i, k in enumerate(("start", "delta", "delete"))]
+    extra = rows.filter((n == 0) & (way == 1)).withColumn("e", F.explode(F.array(*gone)))
+    dropped = extra.select("conv_id", (F.col("turn") * 2**24 + F.col("e.i")).alias("seq"), (F.col("msg") + 1).alias("msg"), F.col("e.kind").alias("kind"), F.lit("user").alias("role"), F.lit("never mind").alias("text"))
+    return log.unionByName(dropped)
 
 
 def fold_messages(events: DataFrame) -> DataFrame:

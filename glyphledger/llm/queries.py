@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table
+from .common import held_out, read_table, scratch_path
 from .chat import conversation_digests, events_of, format_chats
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
@@ -14,7 +14,7 @@ from .simhash import simhash_components
 from .token_store import verify_documents, write_store
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import Rule, filter_urls
-from .warc import audit, replica
+from .warc import audit, read_trees, write_archives, write_trees, written_name
 
 
 def op4_exact_dedup(spark, sf_dir):
@@ -45,7 +45,7 @@ def op3_chat_formatting(spark, sf_dir):
     said = "\\### Assistant: </turn> ok"
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return conversation_digests(format_chats(events_of(turns.unionByName(probe))))
+    return conversation_digests(format_chats(events_of(turns.unionByName(probe), revised=True)))
 
 
 def op10_decontamination(spark, sf_dir):
@@ -64,12 +64,15 @@ def op6_url_filters(spark, sf_dir):
 
 
 def op5_warc_fixity(spark, sf_dir):
-    """Two replicas of the pages' archives; in the second a byte of some records has changed."""
+    """Two replicas of the pages' archives, written as files and read back; in the second some records changed by a byte, some are lost, and some are in it alone."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    fate = F.coalesce(F.col("page_id") * 48271 % 1009, F.lit(-1))
     half = F.floor(F.length("html") / 2).cast("int")
     changed = F.concat(F.substring("html", 1, half), F.lit("~"), F.substring("html", half + 2, F.length("html")))
-    damaged = F.when(F.col("page_id") * 48271 % 1009 < 25, changed).otherwise(F.col("html"))
-    return audit(replica(pages, F.col("html")), replica(pages, damaged))
+    a, b = scratch_path(spark, "replica"), scratch_path(spark, "replica")
+    write_archives(pages.filter(~fate.between(30, 34)), F.col("html"), a)
+    write_archives(pages.filter(~fate.between(25, 29)), F.when(fate.between(0, 24), changed).otherwise(F.col("html")), b)
+    return audit(spark, *(write_trees(read_trees(spark, p, written_name)) for p in (a, b)))
 
 
 def op7_simhash(spark, sf_dir):
@@ -123,14 +126,18 @@ SQL = {
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, text_sha256 FROM w""",
     "op5_warc_fixity": """
-        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a,
-                          CASE WHEN page_id * 48271 % 1009 < 25 THEN substr(html, 1, length(html) // 2) || '~' || substr(html, length(html) // 2 + 2) ELSE html END AS b FROM pages),
-        h AS (SELECT page_id, a, coalesce(b, '') AS b, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>'
-                     || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS h, chr(13) || chr(10) || chr(13) || chr(10) AS e FROM p),
-        r AS (SELECT page_id // 500 AS archive, page_id AS record_id, h || strlen(a) || e || a || e AS a, h || strlen(b) || e || b || e AS b FROM h),
-        s AS (SELECT archive, record_id, strlen(a) AS length, sha256(a) AS digest_a, sha256(b) AS digest_b FROM r),
-        o AS (SELECT *, row_number() OVER w - 1 AS position, sum(length) OVER w - length AS "offset" FROM s WINDOW w AS (PARTITION BY archive ORDER BY record_id ROWS UNBOUNDED PRECEDING))
-        SELECT archive, position, record_id, "offset"::BIGINT AS "offset", length, digest_a, digest_b FROM o WHERE digest_a <> digest_b""",
+        WITH p AS (SELECT *, coalesce(page_id * 48271 % 1009, -1) AS fate, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, url, fate, body AS a, CASE WHEN fate BETWEEN 0 AND 24 THEN coalesce(substr(html, 1, length(html) // 2) || '~' || substr(html, length(html) // 2 + 2), '') ELSE body END AS b,
+                     chr(13) || chr(10) AS e FROM p),
+        t AS (SELECT *, 'WARC/1.0' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+                     || 'Content-Type: text/html' || e || 'Content-Length: ' AS head FROM h),
+        r AS (SELECT page_id, (page_id // 500)::VARCHAR AS archive, 'urn:page:' || page_id AS record_id, fate, head || strlen(a) || e || e || a || e || e AS a, head || strlen(b) || e || e || b || e || e AS b FROM t),
+        x AS (SELECT archive, page_id, record_id, strlen(a) AS length_a, sha256(a) AS digest_a, (sum(strlen(a)) OVER w - strlen(a))::BIGINT AS offset_a FROM r WHERE fate NOT BETWEEN 30 AND 34
+              WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING)),
+        y AS (SELECT archive, page_id, record_id, strlen(b) AS length_b, sha256(b) AS digest_b, (sum(strlen(b)) OVER w - strlen(b))::BIGINT AS offset_b FROM r WHERE fate NOT BETWEEN 25 AND 29
+              WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING))
+        SELECT archive, CASE WHEN digest_b IS NULL THEN 'lost' WHEN digest_a IS NULL THEN 'added' ELSE 'changed' END AS kind, record_id, offset_a, length_a, digest_a, offset_b, length_b, digest_b
+        FROM x FULL JOIN y USING (archive, page_id, record_id) WHERE digest_a IS DISTINCT FROM digest_b""",
     "op6_url_filters": """
         WITH r(rule, h, p, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
                                          ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),

@@ -29,6 +29,15 @@ def test_round_trip_of_control_strings(spark):
     assert whole.count("</turn>\n") == whole.count("### ") == len(ODD)
 
 
+def test_a_revised_log_gives_the_same_turns(spark):
+    turns = spark.createDataFrame([(i % 7, i, "assistant" if i % 2 else None, t) for i, t in enumerate(ODD * 9 + [None, "long " * 5000])], "conv_id long, turn long, role string, text string")
+    log = C.events_of(turns, 50, True)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert {"regenerate", "edit", "delete", "delta", "start"} <= set(kinds) and min(kinds.values()) > 5
+    got, want = (sorted((tuple(r) for r in C.conversation_digests(C.format_chats(e)).collect()), key=str) for e in (log.orderBy(C.F.rand(1)), C.events_of(turns)))
+    assert got == want
+
+
 def test_fold_of_deltas_edits_and_regenerations(spark):
     log = [
         (1, 0, 10, "start", "user", None), (1, 1, 10, "delta", None, "Hel"), (1, 2, 10, "delta", None, "lo"), (1, 3, 11, "start", "assistant", None), (1, 4, 11, "delta", None, "bad"), (1, 5, 11, "regenerate", None, None),
