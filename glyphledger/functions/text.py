@@ -24,7 +24,7 @@ LANGUAGE = rf"(?<![0-9A-Za-z_])({'|'.join(LANGUAGES)})(?![0-9A-Za-z_])"
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(" " + BLANKS))
 
 
 def squeeze(text: Column) -> Column:
@@ -58,7 +58,7 @@ def score_text(text: Column, codes: list[str] | None = None) -> Column:
         + points(t.rlike(rf"{SPACE}[{RARITIES}]{SPACE}"), RARITY_SCORE)
         + points(t.rlike(NUMBER), NUMBER_SCORE)
         + points(t.rlike(LANGUAGE), LANGUAGE_SCORE)
-        + points(F.length(t) > 10, LENGTH_SCORE)
+        + points((F.length(t) > 10) | (F.octet_length(F.encode(t, "UTF-16BE")) > 20), LENGTH_SCORE)  # counted in UTF-16 units
     )
 
 
@@ -70,16 +70,21 @@ def choose_text(raw: Column, cleaned: Column, codes: list[str] | None = None) ->
     )
 
 
-def parse_key(text: Column, codes: list[str] | None = None) -> Column:
-    """STR4: struct (set_code, number, language), null unless there are both a set code and a number."""
-    t = F.upper(trim_all(text))
+def key_text(text: Column) -> Column:
+    """STR4: what keys are looked for in: trimmed and in capitals."""
+    return F.upper(trim_all(text))
+
 
-    def first(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
+def key_parts(upper: Column, codes: list[str] | None = None) -> dict[str, Column]:
+    """STR4: set code, number and language that stand in a key text, each null if there is none."""
+    found = {"set_code": (code_pattern(codes), 1), "number": (f"({NUMBER})", 1), "language": (LANGUAGE, 1)}
+    return {name: F.nullif(F.regexp_extract(upper, pattern, group), F.lit("")) for name, (pattern, group) in found.items()}
 
-    code, number = first(code_pattern(codes), 1), first(f"({NUMBER})", 1)
-    found = F.struct(code.alias("set_code"), number.alias("number"), first(LANGUAGE, 1).alias("language"))
-    return F.when(code.isNotNull() & number.isNotNull(), found)
+
+def parse_key(text: Column, codes: list[str] | None = None) -> Column:
+    """STR4: struct (set_code, number, language), null unless there are both a set code and a number."""
+    parts = key_parts(key_text(text), codes)
+    return F.when(parts["set_code"].isNotNull() & parts["number"].isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
 def unique_id(card_id: Column, alternative: Column, is_foil: Column) -> Column:
@@ -151,7 +156,7 @@ def language_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.coalesce(code, F.lit(""))), F.lit("English"))
 
 
-LABEL_JUNK = r"[^a-zA-ZäöüÄÖÜß\s\-',.]"
+LABEL_JUNK = r"[^a-zA-ZäöüÄÖÜß\-',." + SPACE[1:]
 
 
 def label_from_name(stem: Column) -> Column:

@@ -1,8 +1,10 @@
 """Rasters as rows: pixels (image_id, y, x, r, g, b, a) and images (image_id, width, height).
 
 Stencils are separable: each is a window along x, then one along y, both within
-an image, so one distribution by image_id serves all steps.  Values stay doubles
-until they are stored, where they are clamped and rounded half to even.
+an image; ``by_image`` deals the pixels by image once, which serves both windows
+and what is aggregated after them.  Values stay doubles until they are stored,
+where they are clamped and rounded half to even.  All steps of a detection in
+one pass are in detection.py.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ def store(v: Column) -> Column:
     return F.bround(clamp(v), 0)
 
 
+def by_image(pixels: DataFrame) -> DataFrame:
+    """Pixels dealt by image: windows by (image, row) and by (image, column) need no other exchange."""
+    return pixels.repartition("image_id")
+
+
 def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
@@ -114,7 +121,7 @@ def sharpen(pixels: DataFrame, channels=("r", "g", "b"), compat: bool = False) -
     x = Window.partitionBy("image_id", "y").orderBy("x")
     y = Window.partitionBy("image_id", "x").orderBy("y")
     lines = Window.partitionBy("image_id").orderBy("y", "x")
-    out = pixels
+    out = by_image(pixels)
     source = {c: c for c in channels}
     if compat:
         out = out.withColumn("next_r", F.lead("r").over(lines))
@@ -192,7 +199,7 @@ def sobel(pixels: DataFrame) -> DataFrame:
     """WIN1: (image_id, y, x, gx, gy) of inner pixels, in two windows."""
     x = Window.partitionBy("image_id", "y").orderBy("x")
     y = Window.partitionBy("image_id", "x").orderBy("y")
-    rows = with_gray(pixels).select("image_id", "y", "x", (F.lead("gray").over(x) - F.lag("gray").over(x)).alias("d"), (F.lag("gray").over(x) + 2 * F.col("gray") + F.lead("gray").over(x)).alias("s"))
+    rows = by_image(with_gray(pixels).select("image_id", "y", "x", "gray")).select("image_id", "y", "x", (F.lead("gray").over(x) - F.lag("gray").over(x)).alias("d"), (F.lag("gray").over(x) + 2 * F.col("gray") + F.lead("gray").over(x)).alias("s"))
     both = rows.select("image_id", "y", "x", (F.lag("d").over(y) + 2 * F.col("d") + F.lead("d").over(y)).alias("gx"), (F.lead("s").over(y) - F.lag("s").over(y)).alias("gy"))
     return both.filter("gx IS NOT NULL AND gy IS NOT NULL")
 
@@ -207,7 +214,7 @@ def local_variance(pixels: DataFrame) -> DataFrame:
     """WIN2, AGG9: population variance over the up to nine neighbours of each pixel, itself included."""
     x = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-1, 1)
     y = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-1, 1)
-    rows = with_gray(pixels).select("image_id", "y", "x", "gray", F.sum("gray").over(x).alias("s"), F.sum(F.col("gray") * F.col("gray")).over(x).alias("q"), F.count("gray").over(x).alias("n"))
+    rows = by_image(with_gray(pixels).select("image_id", "y", "x", "gray")).select("image_id", "y", "x", "gray", F.sum("gray").over(x).alias("s"), F.sum(F.col("gray") * F.col("gray")).over(x).alias("q"), F.count("gray").over(x).alias("n"))
     both = rows.select("image_id", "y", "x", "gray", F.sum("s").over(y).alias("s"), F.sum("q").over(y).alias("q"), F.sum("n").over(y).alias("n"))
     mean = F.col("s") / F.col("n")
     return both.select("image_id", "y", "x", "gray", F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean).alias("variance"))
@@ -297,20 +304,3 @@ def find_bands(pixels: DataFrame, images: DataFrame) -> DataFrame:
     """All of step four for each image."""
     found = consensus(brightness_peaks(brightness_profile(pixels, images)), edge_peaks(edge_density(pixels)), pattern_peaks(pattern_profile(pixels, images)))
     return text_bands(found, images)
-
-
-def detect(pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """The whole detection: (image_id, status, bottom_edge, left_edge, is_foil, start_y, band_height, used_enhanced), a row per image.
-
-    Coordinates are those of each step's raster, as its crop left it.
-    """
-    quarter, q = crop_quadrant(pixels, images), quadrant_sizes(images)
-    bottom = bottom_edge(quarter, q)
-    cut, c = crop_bottom(quarter, bottom), q.join(bottom, "image_id").filter("bottom_edge IS NOT NULL").select("image_id", "width", (F.col("bottom_edge") + 1).cast("int").alias("height"))
-    left = left_edge(cut, c)
-    card, k = crop_left(cut, left), c.join(left, "image_id").filter("left_edge IS NOT NULL").select("image_id", (F.col("width") - F.col("left_edge")).cast("int").alias("width"), "height")
-    foil = foil_vote(image_stats(card)).select("image_id", "is_foil")
-    bands = find_bands(card, k)
-    every = images.select("image_id").join(bottom, "image_id", "left").join(left, "image_id", "left").join(foil, "image_id", "left").join(bands, "image_id", "left")
-    status = F.when(F.col("bottom_edge").isNull(), "no bottom edge").when(F.col("left_edge").isNull(), "no left edge").when(F.col("band_height") > 0, "found").otherwise("empty band")
-    return every.select("image_id", status.alias("status"), "bottom_edge", "left_edge", "is_foil", "start_y", "band_height", "used_enhanced")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import accuracy as acc
@@ -10,7 +12,10 @@ from ..operators import cache as caches
 from ..operators import collections as colls
 from ..operators import evaluate as ev
 from ..operators import ledger as led
-from ..operators import lookup, raster
+from ..operators import detection, lookup, raster
+from ..sources import images as sources
+from ..sources import stores
+from ..sources.shared import shared_dir
 from . import views as v
 from .views import sql_views
 
@@ -41,8 +46,18 @@ def _dup(t: str) -> str:
     return t
 
 
+_WS = v.SQL_SPACE
+
+
 def _squeeze(t: str) -> str:
-    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({t}, '[{_WS}]+', ' ', 'g'))"
+
+
+def _upper(t: str) -> str:
+    """Capitals, also of letters that become two."""
+    for small, large in v.CAPITALS.items():
+        t = f"replace({t}, '{small}', '{large}')"
+    return f"upper({t})"
 
 
 _LANG = "|".join(txt.LANGUAGES)
@@ -51,19 +66,17 @@ _CLEAN = f"upper({_squeeze(f"regexp_replace(translate({_dup(_squeeze('raw'))}, '
 
 
 def _score(t: str) -> str:
-    parts = [f"regexp_matches({t}, '{_CODES}')::INT * 50", f"regexp_matches({t}, '\\s[CURMBLST]\\s')::INT * 15", f"regexp_matches({t}, '\\d{{3,5}}')::INT * 30", f"regexp_matches({t}, '\\b({_LANG})\\b')::INT * 10", f"(length({t}) > 10)::INT * 5"]
+    parts = [f"regexp_matches({t}, '{_CODES}')::INT * 50", f"regexp_matches({t}, '[{_WS}][CURMBLST][{_WS}]')::INT * 15", f"regexp_matches({t}, '\\d{{3,5}}')::INT * 30", f"regexp_matches({t}, '\\b({_LANG})\\b')::INT * 10", f"(length({t}) + len(regexp_extract_all({t}, '[\\x{{10000}}-\\x{{10FFFF}}]')) > 10)::INT * 5"]
     return "(" + " + ".join(parts) + ")"
 
 
-def _parsed(t: str) -> str:
-    u = f"upper({t})"
-    return f"nullif(regexp_extract({u}, '({_CODES})', 1), '') AS c0, nullif(regexp_extract({u}, '(\\d{{3,5}})', 1), '') AS n0, nullif(regexp_extract({u}, '\\b({_LANG})\\b', 1), '') AS l0"
+_PARTS = f"nullif(regexp_extract(u, '({_CODES})', 1), '') AS c0, nullif(regexp_extract(u, '(\\d{{3,5}})', 1), '') AS n0, nullif(regexp_extract(u, '\\b({_LANG})\\b', 1), '') AS l0"
 
 
 _CHOSEN = f"""cleaned AS (SELECT scan_id, raw, {_CLEAN} AS cleaned FROM scan_text),
 scored AS (SELECT *, {_score('raw')} AS raw_score, {_score('cleaned')} AS cleaned_score FROM cleaned),
 chosen AS (SELECT *, CASE WHEN raw_score > cleaned_score THEN raw ELSE cleaned END AS final_text, greatest(raw_score, cleaned_score) AS final_score, raw_score > cleaned_score AS used_raw FROM scored),
-keyed AS (SELECT *, {_parsed('final_text')} FROM chosen),
+keyed AS (SELECT *, {_PARTS} FROM (SELECT *, {_upper('final_text')} AS u FROM chosen)),
 parsed AS (SELECT *, CASE WHEN c0 IS NOT NULL AND n0 IS NOT NULL THEN c0 END AS set_code, CASE WHEN c0 IS NOT NULL AND n0 IS NOT NULL THEN n0 END AS number,
            CASE WHEN c0 IS NOT NULL AND n0 IS NOT NULL THEN l0 END AS language FROM keyed)"""
 _TEXT = sql_views("scan_text", more=_CHOSEN)
@@ -75,24 +88,20 @@ def _chosen(spark, sf_dir):
 
 
 def _parsed_scans(spark, sf_dir):
-    c = _chosen(spark, sf_dir)
-    return c.select("scan_id", "final_score", txt.parse_key(F.col("final_text")).alias("k")).select("scan_id", "final_score", "k.*")
+    return lookup.parse_keys(_chosen(spark, sf_dir).select("scan_id", "final_score", "final_text"), "final_text").drop("final_text")
 
 
 # Texts.
 
 
-@query(
-    "resolve_scan_text",
-    sql_views("scan_text", "catalog", more=_CHOSEN)
-    + """SELECT scan_id, final_score, set_code, number, coalesce({'EN':'en','DE':'de','FR':'fr','ES':'es','IT':'it','PT':'pt','JP':'ja','KO':'ko','RU':'ru','ZH':'zhs'}[language], 'en') AS api_language, card_id, name
-    FROM parsed LEFT JOIN catalog ON lower(set_code) = set AND number::INT = catalog_number""".replace(
-        "{'EN':'en','DE':'de','FR':'fr','ES':'es','IT':'it','PT':'pt','JP':'ja','KO':'ko','RU':'ru','ZH':'zhs'}[language]", "CASE language WHEN 'JP' THEN 'ja' WHEN 'ZH' THEN 'zhs' ELSE lower(language) END"
-    ),
-)
+_API = "CASE language WHEN 'JP' THEN 'ja' WHEN 'ZH' THEN 'zhs' ELSE lower(language) END"
+
+
+@query("resolve_scan_text", sql_views("scan_text", "catalog", more=_CHOSEN + f", asked AS (SELECT *, CASE WHEN set_code IS NOT NULL THEN coalesce({_API}, 'en') END AS api_language FROM parsed)")
+    + "SELECT scan_id, final_score, set_code, number, api_language, card_id, name FROM asked LEFT JOIN catalog ON lower(set_code) = set AND number::INT = catalog_number AND api_language = lang")
 def resolve_scan_text(spark, sf_dir):
     found = lookup.resolve(_parsed_scans(spark, sf_dir), v.catalog(spark, sf_dir))
-    return found.select("scan_id", "final_score", "set_code", "number", txt.language_code(F.col("language")).alias("api_language"), "card_id", "name")
+    return found.select("scan_id", "final_score", "set_code", "number", "api_language", "card_id", "name")
 
 
 @query("clean_text", _TEXT + "SELECT scan_id, cleaned FROM cleaned")
@@ -132,7 +141,7 @@ def parse_code(spark, sf_dir):
     return v.strips(spark, sf_dir).select("part_key", txt.parse_code(stem).alias("p")).select("part_key", "p.*")
 
 
-@query("label_lookup_fallback", sql_views("strips") + """SELECT s.part_key, coalesce(l.p_name, trim(regexp_replace(s.raw, '[^a-zA-ZäöüÄÖÜß\\s\\-'',.]', ' ', 'g'))) AS expected
+@query("label_lookup_fallback", sql_views("strips") + """SELECT s.part_key, coalesce(l.p_name, trim(regexp_replace(s.raw, '[^a-zA-ZäöüÄÖÜß\\-'',.""" + v.SQL_SPACE + """]', ' ', 'g'))) AS expected
     FROM strips s LEFT JOIN (SELECT raw, min(p_name) AS p_name FROM strips WHERE p_size <= 17 GROUP BY raw) l USING (raw)""")
 def label_lookup_fallback(spark, sf_dir):
     s = v.strips(spark, sf_dir)
@@ -431,20 +440,28 @@ def invert(spark, sf_dir):
     return p.select("image_id", "y", "x", *[_r(c).alias(c) for c in "rgb"])
 
 
-@query("upscale", _PX + "SELECT image_id, y * 2 + dy AS y, x * 2 + dx AS x, round(r, 6) AS r FROM pixels, range(2) a(dy), range(2) b(dx)")
+@query("upscale", _PX + "SELECT image_id, y * 2 + dy AS y, x * 2 + dx AS x, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM pixels, range(2) a(dy), range(2) b(dx)")
 def upscale(spark, sf_dir):
-    return raster.preprocess(v.pixels(spark, sf_dir), "upscale").select("image_id", "y", "x", _r("r").alias("r"))
+    return _rgb(raster.preprocess(v.pixels(spark, sf_dir), "upscale"))
+
+
+_RGB = ", ".join(f"round({c}, 6) AS {c}" for c in "rgb")
+
 
+def _rgb(df):
+    return df.select("image_id", "y", "x", *[_r(c).alias(c) for c in "rgb"])
 
-@query("sharpen", _PX + f"""SELECT image_id, y, x, CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN round_even({_clamp('n')}, 0) ELSE round(r, 6) END AS r
-    FROM (SELECT p.image_id, p.y, p.x, any_value(p.r) AS r, round(any_value(p.r) * 10 - sum(q.r), 9) AS n FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY 1, 2, 3)""")
+
+@query("sharpen", _PX + "SELECT image_id, y, x, " + ", ".join(f"CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN round_even({_clamp('n' + c)}, 0) ELSE round({c}, 6) END AS {c}" for c in "rgb") + """
+    FROM (SELECT p.image_id, p.y, p.x, """ + ", ".join(f"any_value(p.{c}) AS {c}, round(any_value(p.{c}) * 10 - sum(q.{c}), 9) AS n{c}" for c in "rgb")
+    + " FROM pixels p JOIN pixels q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY 1, 2, 3)")
 def sharpen(spark, sf_dir):
-    return raster.preprocess(v.pixels(spark, sf_dir), "sharpen").select("image_id", "y", "x", _r("r").alias("r"))
+    return _rgb(raster.preprocess(v.pixels(spark, sf_dir), "sharpen"))
 
 
-@query("crop_quadrant", _WIDE + "SELECT image_id, y - 8 AS y, x, round(r, 6) AS r FROM pixels_wide WHERE x < 8 AND y >= 8")
+@query("crop_quadrant", _WIDE + f"SELECT image_id, y - 8 AS y, x, {_RGB} FROM pixels_wide WHERE x < 8 AND y >= 8")
 def crop_quadrant(spark, sf_dir):
-    return raster.crop_quadrant(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir)).select("image_id", "y", "x", _r("r").alias("r"))
+    return _rgb(raster.crop_quadrant(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir)))
 
 
 _BOTTOM = "bottoms AS (SELECT image_id, max(y) AS bottom_edge FROM (SELECT image_id, y FROM pixels_dark WHERE x >= 13 GROUP BY 1, 2 HAVING avg((gray < 100)::INT) > 0.6) GROUP BY 1)"
@@ -462,11 +479,11 @@ def left_edge(spark, sf_dir):
     return raster.left_edge(v.pixels_dark(spark, sf_dir), v.images_wide(spark, sf_dir))
 
 
-@query("crop_edges", _EDGES + "SELECT image_id, y, x - left_edge AS x, round(r, 6) AS r FROM pixels_dark JOIN bottoms USING (image_id) JOIN lefts USING (image_id) WHERE y <= bottom_edge AND x >= left_edge")
+@query("crop_edges", _EDGES + f"SELECT image_id, y, x - left_edge AS x, {_RGB} FROM pixels_dark JOIN bottoms USING (image_id) JOIN lefts USING (image_id) WHERE y <= bottom_edge AND x >= left_edge")
 def crop_edges(spark, sf_dir):
     p, i = v.pixels_dark(spark, sf_dir), v.images_wide(spark, sf_dir)
     cut = raster.crop_left(raster.crop_bottom(p, raster.bottom_edge(p, i)), raster.left_edge(p, i))
-    return cut.select("image_id", "y", "x", _r("r").alias("r"))
+    return _rgb(cut)
 
 
 _PROFILE = "profile AS (SELECT image_id, y, avg(gray) AS value FROM pixels WHERE x < 6 GROUP BY 1, 2)"
@@ -553,16 +570,45 @@ def consensus_band(spark, sf_dir):
     return raster.find_bands(v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir))
 
 
-@query("crop_band", _BANDS + """SELECT p.image_id, p.y - s AS y, x, round(r, 6) AS r FROM pixels_wide p JOIN (SELECT image_id, CASE WHEN coalesce(top > 0, false) THEN top ELSE 14 END AS s, CASE WHEN coalesce(top > 0, false) THEN 1 ELSE 2 END AS h
+@query("crop_band", _BANDS + f"SELECT p.image_id, p.y - s AS y, x, {_RGB}" + """ FROM pixels_wide p JOIN (SELECT image_id, CASE WHEN coalesce(top > 0, false) THEN top ELSE 14 END AS s, CASE WHEN coalesce(top > 0, false) THEN 1 ELSE 2 END AS h
     FROM (SELECT DISTINCT image_id FROM pixels_wide) LEFT JOIN best USING (image_id)) USING (image_id) WHERE p.y >= s AND p.y < s + h""")
 def crop_band(spark, sf_dir):
     p, i = v.pixels_wide(spark, sf_dir), v.images_wide(spark, sf_dir)
-    return raster.crop_band(p, raster.find_bands(p, i)).select("image_id", "y", "x", _r("r").alias("r"))
+    return _rgb(raster.crop_band(p, raster.find_bands(p, i)))
+
+
+def _dark_sql(source: str, line: str, pick: str, where: str) -> str:
+    return f"SELECT image_id, {pick}({line}) AS edge FROM (SELECT image_id, {line} FROM {source} WHERE {where} GROUP BY 1, 2 HAVING avg((gray < 100)::INT) > 0.6) GROUP BY 1"
+
+
+_DETECT = sql_views("pixels_card", more=f"""quarter AS (SELECT image_id, y - 16 AS y, x, r, g, b, gray FROM pixels_card WHERE x < 16 AND y >= 16),
+bottoms AS ({_dark_sql('quarter', 'y', 'max', 'x >= 16 - 3')}),
+cut AS (SELECT q.*, edge + 1 AS h FROM quarter q JOIN bottoms USING (image_id) WHERE y <= edge),
+lefts AS ({_dark_sql('cut', 'x', 'min', 'y >= h - greatest(3, floor(h * 0.1))')}),
+card AS (SELECT image_id, y, x - edge AS x, r, g, b, gray, h, 16 - edge AS w FROM cut JOIN lefts USING (image_id) WHERE x >= edge),
+{_FOIL.replace('FROM pixels', 'FROM card')},
+{_sobel_sql('card')},
+around AS (SELECT image_id, y, x, h, w, gray, sum(gray) OVER v AS s, sum(gray * gray) OVER v AS q, count(*) OVER v AS n FROM card WINDOW v AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+nine AS (SELECT image_id, y, x, h, w, gray, sum(s) OVER v AS s, sum(q) OVER v AS q, sum(n) OVER v AS n FROM around WINDOW v AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+blocks AS (SELECT image_id, h - 8 * ((h - 1 - y) // 8 + 1) AS y, count(*) FILTER (gray > 128) AS bright, count(*) FILTER (NOT gray > 128) AS dark, avg(greatest(0.0::DOUBLE, q / n - (s / n) * (s / n))) AS variance
+    FROM nine WHERE y >= h % 8 AND x // 8 * 8 < w - 8 GROUP BY 1, 2, x // 8),
+patterned AS (SELECT image_id, y FROM blocks GROUP BY 1, 2 HAVING avg((least(bright, dark)::DOUBLE / greatest(bright, dark) > 0.2 AND least(bright, dark)::DOUBLE / greatest(bright, dark) < 0.8)::INT * 0.5 + (variance > 200 AND variance < 2000)::INT * 0.5) > 0.3),
+profile AS (SELECT image_id, y, avg(gray) AS value FROM card WHERE x < floor(w * 0.8) GROUP BY 1, 2),
+bright AS (SELECT image_id, y FROM ({_NEAR.format('profile')}) WHERE value > 30 AND value > prev + 10 AND value > next + 10),
+edged AS (SELECT image_id, y FROM ({_NEAR.format('density')}) WHERE value > 0.1 AND value > prev AND value > next),
+agreed AS (SELECT b.image_id, b.y, 1 + (EXISTS (SELECT 1 FROM edged e WHERE e.image_id = b.image_id AND e.y <> 0 AND abs(e.y - b.y) < 20))::INT
+           + (EXISTS (SELECT 1 FROM patterned p WHERE p.image_id = b.image_id AND p.y <> 0 AND abs(p.y - b.y) < 20))::INT AS score FROM bright b),
+best AS (SELECT image_id, arg_max(y, (score, -y)) AS top FROM agreed GROUP BY 1),
+cards AS (SELECT DISTINCT image_id, h FROM card),
+bands AS (SELECT image_id, coalesce(top > 0, false) AS ok, CASE WHEN coalesce(top > 0, false) THEN top ELSE h - floor(h * 0.15) END AS start_y,
+          CASE WHEN coalesce(top > 0, false) THEN least(top + floor(h * 0.08), h) - top ELSE floor(h * 0.15) END AS band_height FROM cards LEFT JOIN best USING (image_id))""")
 
 
-@query("detect_card")
+@query("detect_card", _DETECT + """SELECT i.image_id, CASE WHEN b.edge IS NULL THEN 'no bottom edge' WHEN l.edge IS NULL THEN 'no left edge' WHEN band_height > 0 THEN 'found' ELSE 'empty band' END AS status, b.edge AS bottom_edge, l.edge AS left_edge,
+    votes >= 2 AS is_foil, start_y::INT AS start_y, band_height::INT AS band_height, ok AS used_enhanced
+    FROM (SELECT DISTINCT image_id FROM pixels_card) i LEFT JOIN bottoms b USING (image_id) LEFT JOIN lefts l USING (image_id) LEFT JOIN votes USING (image_id) LEFT JOIN bands USING (image_id)""")
 def detect_card(spark, sf_dir):
-    return raster.detect(v.pixels_dark(spark, sf_dir), v.images_wide(spark, sf_dir))
+    return detection.detect(detection.image_arrays(v.pixels_card(spark, sf_dir), v.images_card(spark, sf_dir)))
 
 
 # The stream over the same events, the recogniser's boundary, and the binary form of rasters.
@@ -571,27 +617,114 @@ def detect_card(spark, sf_dir):
 @query("ledger_stream", sql_views("holdings") + "SELECT collection, key, count, epoch_us(added_at) // 1000 AS added_ms FROM holdings")
 def ledger_stream(spark, sf_dir):
     """The whole event table through the streaming ledger; what is left is the last change of each key."""
-    import uuid
-
-    from ..sources.shared import shared_dir
     from ..streaming.ledger_stream import ledger_updates
 
     source = v.table(spark, sf_dir, "events")
     out = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     stream = v.as_ledger(spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     log = ledger_updates(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}/log").trigger(availableNow=True)
-    log.foreachBatch(lambda df, n: df.selectExpr("*", f"{n} AS batch").write.mode("append").parquet(f"{out}/changes")).start().awaitTermination()
+    # A batch that runs again replaces its own folder.
+    log.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/changes/batch={n}")).start().awaitTermination()
     last = spark.read.parquet(f"{out}/changes").groupBy("collection", "key").agg(F.max_by(F.struct("count", "added_at"), "batch").alias("s"))
     return last.filter("s.count > 0").select("collection", "key", F.col("s.count").alias("count"), F.unix_millis("s.added_at").alias("added_ms"))
 
 
-@query("ocr_boundary")
-def ocr_boundary(spark, sf_dir):
-    """Each vector as a file's content, read by no recogniser: the boundary alone."""
-    from ..sources.stores import recognition
+def _plain_reader(contents):
+    """Stands for a recogniser in the queries: the bytes of an "image" are its text."""
+    return contents.map(lambda b: bytes(b).decode("utf-8"))
 
-    files = v.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("image-"), F.col("vec_id").cast("string")).alias("path"), F.to_json("embedding").cast("binary").alias("content"))
-    return recognition(None, files)
+
+@query("ocr_boundary", f"SELECT 'image-' || p_partkey AS path, '  ' || p_name || chr(10) AS recognized, {_squeeze("'  ' || p_name || chr(10)")} AS text FROM part")
+def ocr_boundary(spark, sf_dir):
+    """Each part's name as a file's bytes, handed to a reader in batches; what it gives is normalised."""
+    files = v.table(spark, sf_dir, "part").select(F.concat(F.lit("image-"), F.col("p_partkey").cast("string")).alias("path"), F.concat(F.lit("  "), "p_name", F.lit("\n")).cast("binary").alias("content"))
+    return stores.recognition(_plain_reader, files).withColumn("text", txt.normalize_recognized(F.col("recognized")))
+
+
+# Sources and sinks.
+
+
+@query("image_directory", """SELECT 'C ' || p_partkey || ' FDN EN' AS stem, strlen(p_name) AS size, sha256(p_name) AS digest, 'data:image/jpeg;base64,' || to_base64(encode(p_name)) AS url FROM part WHERE p_partkey % 7 < 6""")
+def image_directory(spark, sf_dir):
+    """Parts' names written as files of several kinds and folders; only those of images are found again."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in (".png", ".JPG", ".jpeg", ".PNG", ".jpg", ".png", ".txt")]), (k % 7 + 1).cast("int"))
+    name = F.concat(F.lit("files-"), k % 3, F.lit("/C "), k, F.lit(" FDN EN"), kind)
+    folder = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    sources.write_files(v.table(spark, sf_dir, "part").select(name.alias("path"), F.col("p_name").cast("binary").alias("content")), folder)
+    found = sources.scan_directory(spark, folder)
+    return found.select("stem", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("digest"), sources.data_url(F.col("content")).alias("url"))
+
+
+@query("accepted_uploads", "SELECT p_partkey, coalesce(starts_with(mime, 'image/'), false) AS accepted FROM (SELECT p_partkey, ['image/png', 'text/plain', NULL, 'image/', 'IMAGE/png', 'video/image/'][p_partkey % 6 + 1] AS mime FROM part)")
+def accepted_uploads(spark, sf_dir):
+    mimes = F.array(*[F.lit(x) for x in ("image/png", "text/plain", None, "image/", "IMAGE/png", "video/image/")])
+    return v.table(spark, sf_dir, "part").select("p_partkey", sources.accepts_upload(F.get(mimes, (F.col("p_partkey") % 6).cast("int"))).alias("accepted"))
+
+
+@query("stored_holdings", sql_views("collections") + """SELECT id AS collection, id || '-' || i AS card, CASE WHEN i = 0 THEN 1 ELSE i END::BIGINT AS count, i = 2 AS is_foil, CASE WHEN i = 1 THEN 'Ä "x"' END AS name FROM collections, range(4) t(i) WHERE ord % 5 > 1 AND i <= ord % 4""")
+def stored_holdings(spark, sf_dir):
+    """Each collection's cards as the JSON text under its key: some broken, some empty, some absent, with stray fields and counts of zero."""
+    c, n = v.collections(spark, sf_dir), F.col("ord") % 5
+    card = lambda i: F.struct(F.concat_ws("-", "id", i.cast("string")).alias("id"), i.cast("double").alias("count"), F.when(i == 2, True).alias("isFoil"), F.when(i == 1, 'Ä "x"').alias("name"), F.lit(3).alias("previousQuantity"))
+    cards = F.to_json(F.transform(F.sequence(F.lit(0), F.col("ord") % 4), card))
+    value = F.when(n == 0, F.concat(F.lit("{broken"), cards)).when(n == 1, F.when(F.col("ord") % 2 == 0, F.lit("[]"))).otherwise(cards)
+    return stores.read_holdings(c.select(F.concat(F.lit("cards-"), "id").alias("key"), value.alias("value"))).select("collection", F.col("id").alias("card"), "count", "is_foil", "name")
+
+
+@query("holdings_table", sql_views("holdings") + "SELECT collection, key, count FROM holdings")
+def holdings_table(spark, sf_dir):
+    """The holdings written twice, a folder per collection, and read back."""
+    path = f"{shared_dir(spark)}/holdings-{uuid.uuid4().hex}"
+    held = _held(spark, sf_dir).select("collection", "key", "count")
+    for _ in range(2):
+        stores.write_holdings(held, path)
+    return spark.read.schema("key string, count long, collection string").parquet(path).select("collection", "key", "count")
+
+
+@query("report_json", _EVAL + """SELECT 'image' AS part, image::VARCHAR AS name, any_value(expected) AS expected, count(*) AS tests, round(max(accuracy), 6) AS best FROM results GROUP BY ALL
+    UNION ALL SELECT 'config', config, NULL, tests, round(max_accuracy, 6) FROM stats""")
+def report_json(spark, sf_dir):
+    """The evaluation's report as JSON files, read back."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    results = v.results(spark, sf_dir)
+    stores.write_report(results, ev.config_stats(results), path)
+    one = "results array<struct<config_ord: int, config: string, recognized: string, accuracy: double, success: boolean>>"
+    images = spark.read.schema(f"image long, expectedText string, {one}").json(f"{path}/results")
+    images = images.select(F.lit("image").alias("part"), F.col("image").cast("string").alias("name"), F.col("expectedText").alias("expected"), F.size("results").cast("long").alias("tests"), _r(F.array_max("results.accuracy")).alias("best"))
+    configs = spark.read.schema("config string, tests long, max_accuracy double").json(f"{path}/summary")
+    return images.unionByName(configs.select(F.lit("config").alias("part"), F.col("config").alias("name"), F.lit(None).cast("string").alias("expected"), "tests", _r("max_accuracy").alias("best")))
+
+
+@query("label_map", sql_views("strips", "catalog") + f"SELECT raw AS code, name AS expected FROM (SELECT *, {_API} AS l FROM strips) s JOIN catalog c ON lower(s.set_code) = c.set AND s.number::INT = c.catalog_number AND s.l = c.lang")
+def label_map(spark, sf_dir):
+    """Labels of strips from the catalogue, replaced and read back."""
+    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    found = lookup.label_catalog(v.strips(spark, sf_dir).select(F.col("raw").alias("code"), "set_code", "number", "language"), v.catalog(spark, sf_dir))
+    for labels in (found.limit(0), found):
+        stores.write_labels(labels, path)
+    return spark.read.parquet(path)
+
+
+@query("catalog_cards", sql_views("strips") + "SELECT 'card-' || part_key AS id, p_name AS name, CASE part_key % 3 WHEN 0 THEN 'own-' || part_key WHEN 1 THEN 'face-' || part_key END AS image FROM strips WHERE part_key % 5 > 0")
+def catalog_cards(spark, sf_dir):
+    """Cards as JSON texts, with an image, with faces that have one, with neither, or broken."""
+    k = F.col("part_key")
+    own = F.when(k % 3 == 0, F.struct(F.concat(F.lit("own-"), k).alias("normal")))
+    faces = F.when(k % 3 < 2, F.array(F.struct(F.struct(F.concat(F.lit("face-"), k).alias("normal")).alias("image_uris"))))
+    card = F.to_json(F.struct(F.concat(F.lit("card-"), k).alias("id"), F.col("p_name").alias("name"), own.alias("image_uris"), faces.alias("card_faces")))
+    return lookup.read_catalog(v.strips(spark, sf_dir).select(F.when(k % 5 == 0, F.substring(card, 2, 1000)).otherwise(card).alias("value"))).select("id", "name", "image")
+
+
+@query("cached_dictionary", "SELECT 'young' AS state, i AS ord, ['ABC', 'FDN', 'X1'][i + 1] AS code FROM range(3) t(i) UNION ALL SELECT s, i, ['FDN', 'DSK', 'BLB', 'OTJ', 'MKM', 'LCI', 'WOE'][i + 1] FROM range(7) t(i), (VALUES ('old'), ('broken')) u(s)")
+def cached_dictionary(spark, sf_dir):
+    """The set dictionary: from a cache that is young enough, and the built-in one where it is a day old or no list."""
+    out = None
+    for state, value, age in (("young", '["abc", "FDN", "x1"]', 86_399_999), ("old", '["abc"]', 86_400_000), ("broken", "{", 5)):
+        cached = spark.createDataFrame([("sets", value, v.AS_OF_MS - age)], "key string, value string, ts_ms long")
+        codes = stores.set_codes(spark, cached, v.AS_OF_MS).select(F.lit(state).alias("state"), "ord", "code")
+        out = codes if out is None else out.unionByName(codes)
+    return out
 
 
 # What is left of the inventory: dates, nested values, registry changes, removals, whole exports.
@@ -682,25 +815,19 @@ def ledger_removals(spark, sf_dir):
 
 @query("export_csv", sql_views("holdings") + "SELECT collection, 'Count,Name,Edition,Condition,Language,Foil,Collector Number' || chr(10) || string_agg(count || ',\"' || key || '\",,Near Mint,English,' || CASE WHEN ends_with(key, '_foil') THEN 'Yes' ELSE 'No' END || ',', chr(10) ORDER BY key) AS csv FROM holdings GROUP BY 1")
 def export_csv(spark, sf_dir):
-    from ..sources.stores import csv_text
-
     held = _held(spark, sf_dir)
     rows = held.select("collection", "key", "count", F.col("key").alias("name"), F.lit(None).cast("string").alias("set"), F.lit(None).cast("string").alias("language_display"), F.col("key").endswith("_foil").alias("is_foil"), F.lit("").alias("number"))
-    return csv_text(led.export_rows(rows), "key")
+    return stores.csv_text(led.export_rows(rows), "key")
 
 
 @query("set_dictionary", "SELECT i AS ord, ['FDN', 'DSK', 'BLB', 'OTJ', 'MKM', 'LCI', 'WOE'][i + 1] AS code FROM range(7) t(i)")
 def set_dictionary(spark, sf_dir):
-    from ..sources.stores import set_codes
-
-    return set_codes(spark)
+    return stores.set_codes(spark)
 
 
 @query("registry_values", sql_views("collections") + "SELECT id, name, card_count, id = 'coll_000000004' AS is_active FROM collections WHERE ord < 1000000000")
 def registry_values(spark, sf_dir):
     """The registry as JSON texts, one per collection, read again."""
-    from ..sources.stores import read_registry
-
     c = v.collections(spark, sf_dir)
     value = F.to_json(F.struct(F.create_map("id", F.struct("id", "name", F.col("card_count").alias("cardCount"))).alias("collections"), F.lit("coll_000000004").alias("activeCollection")))
-    return read_registry(c.select(F.lit("collections").alias("key"), value.alias("value"))).select("id", "name", "card_count", "is_active")
+    return stores.read_registry(c.select(F.lit("collections").alias("key"), value.alias("value"))).select("id", "name", "card_count", "is_active")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LANGUAGES, RARITIES, SET_CODES
+from ..functions.text import BLANKS, LANGUAGES, RARITIES, SET_CODES, language_code
 
 #: The moment at which cached entries are judged.
 AS_OF_MS = 1_704_067_200_000 + 10 * 86_400_000
@@ -49,10 +49,10 @@ def strips(spark, sf_dir) -> DataFrame:
 
 
 def scan_text(spark, sf_dir) -> DataFrame:
-    """(scan_id, raw): the strips, and all texts of documents, benchmark and conversations in ASCII."""
+    """(scan_id, raw): the strips, and all texts of documents, benchmark and conversations, whole."""
 
     def texts(name, key):
-        return table(spark, sf_dir, name).select(key.alias("scan_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "").alias("raw"))
+        return table(spark, sf_dir, name).select(key.alias("scan_id"), F.coalesce("text", F.lit("")).alias("raw"))
 
     key = lambda p, *c: F.concat(F.lit(p), *c)
     parts = [
@@ -66,9 +66,12 @@ def scan_text(spark, sf_dir) -> DataFrame:
 
 
 def catalog(spark, sf_dir) -> DataFrame:
-    """(card_id, name, set, number): a card per part, but for those of one type, which the catalogue lacks."""
+    """(card_id, name, set, catalog_number, lang): an English card per part, but for those of one type, and for two of three a card in the part's language."""
     s = strips(spark, sf_dir).filter("p_type != 'ECONOMY'")
-    return s.select(F.concat(F.lit("card-"), "part_key").alias("card_id"), F.col("p_name").alias("name"), F.lower("set_code").alias("set"), F.col("number").cast("int").alias("catalog_number"))
+    own = language_code(F.col("language"))
+    langs = F.array_distinct(F.when(F.col("part_key") % 3 > 0, F.array(F.lit("en"), own)).otherwise(F.array(F.lit("en"))))
+    rows = s.withColumn("lang", F.explode(langs))
+    return rows.select(F.concat_ws("-", F.lit("card"), "part_key", "lang").alias("card_id"), F.col("p_name").alias("name"), F.lower("set_code").alias("set"), F.col("number").cast("int").alias("catalog_number"), "lang")
 
 
 def configs(spark) -> DataFrame:
@@ -157,6 +160,18 @@ def pixels_dark(spark, sf_dir) -> DataFrame:
     return pixels_wide(spark, sf_dir).withColumns({c: F.col(c) * 0.75 for c in "rgb"})
 
 
+def pixels_card(spark, sf_dir) -> DataFrame:
+    """pixels_wide at twice the size with stripes of shade: 32 by 32, dark enough that edges are found."""
+    from ..operators.raster import upscale
+
+    shade = F.lit(0.55) + F.lit(0.05) * ((F.col("x") * 7 + F.col("y") * 11) % 8)
+    return upscale(pixels_wide(spark, sf_dir)).withColumns({c: F.col(c) * shade for c in "rgb"})
+
+
+def images_card(spark, sf_dir) -> DataFrame:
+    return images_wide(spark, sf_dir).select("image_id", (F.col("width") * 2).alias("width"), (F.col("height") * 2).alias("height"))
+
+
 def images_wide(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("image_id")).distinct().select("image_id", F.lit(16).alias("width"), F.lit(16).alias("height"))
 
@@ -168,7 +183,9 @@ def _list(values) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
-_ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g')"
+#: White space as ECMAScript has it, for a character class, and letters whose capitals begin with ASCII letters, with these.
+SQL_SPACE = "".join(f"\\x{{{ord(c):04X}}}" for c in " " + BLANKS)
+CAPITALS = {"ß": "SS", "ŉ": "ʼN", "ǰ": "J̌", "ẖ": "H̱", "ẗ": "T̈", "ẘ": "W̊", "ẙ": "Y̊", "ẚ": "Aʾ", "ﬀ": "FF", "ﬁ": "FI", "ﬂ": "FL", "ﬃ": "FFI", "ﬄ": "FFL", "ﬅ": "ST", "ﬆ": "ST"}
 _V = {
     "strips": f"""SELECT *, CASE part_key % 6 WHEN 1 THEN rarity || lower(rarity) || ' ' || number || ' ' || set_code || ' ' || language
             WHEN 2 THEN base || ' |' WHEN 3 THEN 'LER  ' || base WHEN 4 THEN rarity || ' ' || number || ' ' || set_code || ' ' || lower(language)
@@ -176,9 +193,11 @@ _V = {
         FROM (SELECT *, rarity || ' ' || number || ' ' || set_code || ' ' || language AS base
               FROM (SELECT p_partkey AS part_key, substr('{RARITIES}', p_size % 8 + 1, 1) AS rarity, lpad(p_partkey::VARCHAR, 5, '0') AS number, {_list(SET_CODES)}[p_partkey % 7 + 1] AS set_code,
                            {_list(LANGS)}[p_partkey % 10 + 1] AS language, p_name, p_type, p_size FROM part))""",
-    "scan_text": f"""SELECT 'p' || part_key AS scan_id, raw FROM strips UNION ALL SELECT 'd' || doc_id, {_ASCII} FROM documents
-        UNION ALL SELECT 'b' || item_id, {_ASCII} FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, {_ASCII} FROM conversations""",
-    "catalog": "SELECT 'card-' || part_key AS card_id, p_name AS name, lower(set_code) AS set, number::INT AS catalog_number FROM strips WHERE p_type <> 'ECONOMY'",
+    "scan_text": """SELECT 'p' || part_key AS scan_id, raw FROM strips UNION ALL SELECT 'd' || doc_id, coalesce(text, '') FROM documents
+        UNION ALL SELECT 'b' || item_id, coalesce(text, '') FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, coalesce(text, '') FROM conversations""",
+    "catalog": """SELECT 'card-' || part_key || '-' || lang AS card_id, p_name AS name, lower(set_code) AS set, number::INT AS catalog_number, lang
+        FROM (SELECT *, 'en' AS lang FROM strips UNION ALL SELECT *, CASE language WHEN 'JP' THEN 'ja' WHEN 'ZH' THEN 'zhs' ELSE lower(language) END FROM strips WHERE part_key % 3 > 0 AND language <> 'EN')
+        WHERE p_type <> 'ECONOMY'""",
     "configs": f"""SELECT i AS config_ord, {_list(c[0] for c in CONFIGS)}[i + 1] AS name, {_list(c[1] for c in CONFIGS)}[i + 1] AS lang, {_list(c[2] for c in CONFIGS)}[i + 1] AS preprocessing
         FROM range({len(CONFIGS)}) t(i)""",
     "recognitions": """SELECT p_partkey AS image, p_name AS expected, CASE config_ord WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'l', '1') WHEN 2 THEN upper(replace(p_name, 'o', '0')) WHEN 3 THEN reverse(p_name)
@@ -212,11 +231,13 @@ _V = {
     "exploded": "SELECT vec_id, i, v[i + 1] AS r, v[(i + 21) % 64 + 1] AS g, v[(i + 42) % 64 + 1] AS b FROM (SELECT vec_id, v, unnest(range(64)) AS i FROM vectors)",
     "pixels": "SELECT vec_id AS image_id, i // 8 AS y, i % 8 AS x, r, g, b, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS gray FROM exploded",
     "pixels_wide": "SELECT vec_id // 4 AS image_id, vec_id % 4 // 2 * 8 + i // 8 AS y, vec_id % 4 % 2 * 8 + i % 8 AS x, r, g, b, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS gray FROM exploded",
+    "pixels_card": """SELECT image_id, y, x, r * s AS r, g * s AS g, b * s AS b, 0.299::DOUBLE * (r * s) + 0.587::DOUBLE * (g * s) + 0.114::DOUBLE * (b * s) AS gray
+        FROM (SELECT *, 0.55::DOUBLE + 0.05::DOUBLE * ((x * 7 + y * 11) % 8) AS s FROM (SELECT image_id, y * 2 + dy AS y, x * 2 + dx AS x, r, g, b FROM pixels_wide, range(2) a(dy), range(2) b(dx)))""",
     "pixels_dark": "SELECT image_id, y, x, r, g, b, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS gray FROM (SELECT image_id, y, x, r * 0.75::DOUBLE AS r, g * 0.75::DOUBLE AS g, b * 0.75::DOUBLE AS b FROM pixels_wide)",
 }
 _NEEDS = {
     "scan_text": ["strips"], "catalog": ["strips"], "recognitions": ["configs"], "judged": ["recognitions"], "mended": ["judged"], "worded": ["mended"], "matched": ["worded"], "results": ["matched"],
-    "marked": ["ledger_events"], "summed": ["marked"], "history": ["summed"], "began": ["history"], "holdings": ["began", "ledger_events"], "exploded": ["vectors"], "pixels": ["exploded"], "pixels_wide": ["exploded"], "pixels_dark": ["pixels_wide"],
+    "marked": ["ledger_events"], "summed": ["marked"], "history": ["summed"], "began": ["history"], "holdings": ["began", "ledger_events"], "exploded": ["vectors"], "pixels": ["exploded"], "pixels_wide": ["exploded"], "pixels_dark": ["pixels_wide"], "pixels_card": ["pixels_wide"],
 }
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphledger.operators import detection as de
 from glyphledger.operators import raster as ra
 from glyphledger.sources import images as im
 
@@ -39,13 +40,17 @@ def test_crops_and_edges(spark):
     left = ra.left_edge(cut, spark.createDataFrame([(0, 20, 21)], "image_id long, width int, height int"))
     assert left.first()["left_edge"] == 4
     assert as_array(ra.crop_left(cut, left)).shape == (21, 16)
-    found = ra.detect(p, i).first()
+    found = de.detect(de.image_arrays(p, i)).first()
     assert (found["status"], found["bottom_edge"], found["left_edge"]) == ("found", 20, 4)
 
 
 def test_no_edge_and_small_rasters(spark):
     p, i = raster(spark, [np.full((12, 16), 255), np.arange(35).reshape(5, 7)])
-    assert {r["image_id"]: r["status"] for r in ra.detect(p, i).collect()}[0] == "no bottom edge"
+    assert {r["image_id"]: r["status"] for r in de.detect(de.image_arrays(p, i)).collect()}[0] == "no bottom edge"
+    empty = spark.createDataFrame([(3, 0, 0)], "image_id long, width int, height int")
+    assert de.detect(de.image_arrays(p.limit(0), empty)).first()["status"] == "no bottom edge"
+    with pytest.raises(Exception, match="pixels"):
+        de.detect(de.image_arrays(p.filter("x != 3"), i)).collect()
     assert as_array(ra.crop_quadrant(p, i).filter("image_id = 1")).shape == (2, 3)
     flat, fi = raster(spark, [np.full((8, 8), 9)])
     assert ra.pattern_profile(flat, fi).count() == 0
@@ -53,6 +58,31 @@ def test_no_edge_and_small_rasters(spark):
     assert (band["start_y"], band["band_height"], band["used_enhanced"]) == (7, 1, False)
 
 
+def test_one_pass_equals_the_steps(spark):
+    rng = np.random.default_rng(2)
+    arrays = []
+    for _ in range(14):
+        h, w = (int(n) for n in rng.integers(20, 70, 2))
+        a = rng.integers(0, 256, (h, w)) // int(rng.integers(2, 6))
+        if rng.random() < 0.7:
+            a[int(rng.integers(0, h))] = 240
+        arrays.append(a)
+    p, i = raster(spark, arrays)
+    quarter, q = ra.crop_quadrant(p, i), ra.quadrant_sizes(i)
+    bottom = ra.bottom_edge(quarter, q).filter("bottom_edge IS NOT NULL")
+    cut = ra.crop_bottom(quarter, bottom)
+    c = q.join(bottom, "image_id").select("image_id", "width", (F.col("bottom_edge") + 1).cast("int").alias("height"))
+    left = ra.left_edge(cut, c).filter("left_edge IS NOT NULL")
+    card = ra.crop_left(cut, left).persist()
+    k = c.join(left, "image_id").select("image_id", (F.col("width") - F.col("left_edge")).cast("int").alias("width"), "height")
+    foil = ra.foil_vote(ra.image_stats(card)).select("image_id", "is_foil")
+    want = bottom.join(left, "image_id", "left").join(foil, "image_id", "left").join(ra.find_bands(card, k).drop("score"), "image_id", "left")
+    columns = ["image_id", "bottom_edge", "left_edge", "is_foil", "start_y", "band_height", "used_enhanced"]
+    got = de.detect(de.image_arrays(p.repartition(3), i)).filter("bottom_edge IS NOT NULL")
+    rows = lambda d: sorted(map(str, (tuple(r) for r in d.select(*columns).collect())))
+    assert rows(got) == rows(want) and got.count() > 3
+
+
 def test_peaks_and_consensus(spark):
     a = np.full((60, 20), 20)
     a[40] = 120

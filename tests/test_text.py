@@ -30,6 +30,44 @@ def test_odd_texts(spark):
     assert one(spark, txt.parse_key(F.lit("FDN C 0001"), ["FD", "FDN"])) == ("FD", "0001", None)
 
 
+#: Text, what it cleans to, its score as it stands, and its key.
+UNICODE = [
+    ("\u00a0C\u20030100\ufeffFDN\u3000DE\u2028", "C 0100 FDN DE", 110, ("FDN", "0100", "DE")),
+    ("Cc\u00a00100 FDN\u2009de", "C 0100 FDN DE", 85, ("FDN", "0100", "DE")),
+    ("C 0100 fdn deß", "C 0100 FDN DE", 35, ("FDN", "0100", None)),
+    ("ä0100 FDN üDEö", "0100 FDN DE", 95, ("FDN", "0100", "DE")),
+    ("wﬂ woe 123 kŉ", "W WOE 123 K", 35, ("WOE", "123", None)),
+    ("🙂🙂🙂🙂🙂🙂", "", 5, None),
+    ("🙂🙂🙂🙂🙂", "", 0, None),
+    ("٣٤٥ FDN", "FDN", 50, None),
+    ("ıſſ FDN 00000 \x85EN", "FDN 0 EN", 95, ("FDN", "00000", "EN")),
+]
+
+
+@pytest.mark.parametrize(("raw", "cleaned", "score", "key"), UNICODE)
+def test_whole_texts_beyond_ascii(spark, raw, cleaned, score, key):
+    df = spark.createDataFrame([(raw,)], "raw string")
+    got = df.select(txt.clean_text(F.col("raw")).alias("c"), txt.score_text(F.col("raw")).alias("s"), txt.parse_key(F.col("raw")).alias("k")).first()
+    assert (got["c"], got["s"], tuple(got["k"]) if got["k"] else None) == (cleaned, score, key)
+    row = lookup.parse_keys(df, "raw").first()
+    assert (row["set_code"], row["number"], row["language"]) == (key or (None, None, None))
+
+
+def test_sql_of_whole_texts_says_the_same(spark):
+    """The SQL that checks the queries, on texts that the data may not hold."""
+    import duckdb
+
+    from glyphledger.plans import catalog_of_queries as q
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE scan_text AS SELECT unnest($1) AS raw", [[u[0] for u in UNICODE]])
+    db.execute("ALTER TABLE scan_text ADD COLUMN scan_id VARCHAR")
+    rows = db.execute("WITH " + q._CHOSEN + " SELECT raw, cleaned, raw_score FROM parsed").fetchall()
+    assert sorted(rows) == sorted(u[:3] for u in UNICODE)
+    keys = db.execute("WITH " + q._CHOSEN.replace("CASE WHEN raw_score > cleaned_score THEN raw ELSE cleaned END", "raw") + " SELECT raw, set_code, number, language FROM parsed").fetchall()
+    assert sorted(keys, key=str) == sorted(((u[0], *(u[3] or (None, None, None))) for u in UNICODE), key=str)
+
+
 def test_small_functions(spark):
     assert one(spark, txt.parse_code(F.lit("C 7 FDN DE"))) == ("C", "007", "fdn", "de")
     assert one(spark, txt.parse_code(F.lit("C 12345 FDN DE")))[1] == "12345"
@@ -81,9 +119,14 @@ def test_accuracy_edges(spark):
 
 
 def test_lookups(spark):
-    catalog = spark.createDataFrame([("x", "Card", "fdn", 100)], "card_id string, name string, set string, catalog_number int")
-    keys = spark.createDataFrame([("FDN", "0100"), ("FDN", "0101"), (None, None), ("FDN", "zz")], "set_code string, number string")
-    assert [r["card_id"] for r in lookup.resolve(keys, catalog).orderBy("number").collect()].count("x") == 1
+    catalog = spark.createDataFrame([("x", "Card", "fdn", 100, "en"), ("y", "Karte", "fdn", 100, "de"), ("z", "Kaart", "fdn", 102, "de")], "card_id string, name string, set string, catalog_number int, lang string")
+    asked = [("FDN", "0100", "EN"), ("FDN", "0100", None), ("FDN", "00100", "DE"), ("FDN", "0100", "FR"), ("FDN", "0102", None), ("FDN", "0101", "DE"), (None, None, None), ("FDN", "zz", "DE")]
+    keys = spark.createDataFrame([(i, *k) for i, k in enumerate(asked)], "i int, set_code string, number string, language string")
+    found = lookup.resolve(keys, catalog).orderBy("i").collect()
+    assert [r["card_id"] for r in found] == ["x", "x", "y", None, None, None, None, None]
+    assert [r["api_language"] for r in found] == ["en", "en", "de", "fr", "en", "de", None, "de"]
+    named = lookup.label_catalog(keys.select(F.concat(F.lit("f"), "i").alias("code"), "set_code", "number", "language"), catalog)
+    assert {r["code"]: r["expected"] for r in named.collect()} == {"f0": "Card", "f1": "Card", "f2": "Karte"}
     labels = spark.createDataFrame(list(LABELS.items()), "code string, expected string")
     files = spark.createDataFrame([("C 0100 FDN DE",), ("Foo_2",)], "stem string")
     assert {r["stem"]: r["expected"] for r in lookup.label(files, labels).collect()} == {"C 0100 FDN DE": "Tierlieber Waldläufer", "Foo_2": "Foo"}
