@@ -62,10 +62,20 @@ def switch(active: DataFrame, collections: DataFrame, to: str) -> DataFrame:
 
 
 def listing(collections: DataFrame, active: DataFrame) -> DataFrame:
-    """COL5: newest first, with the place in the list and the active one flagged."""
-    flag = active.select(F.col("id").alias("active_id"))
-    w = Window.orderBy(F.desc("created_at"), "ord")
-    return collections.join(F.broadcast(flag.limit(1)), F.col("id") == F.col("active_id"), "left").withColumn("is_active", F.col("active_id").isNotNull()).drop("active_id").withColumn("place", F.row_number().over(w))
+    """COL5: newest first, with the place in the list and the active one flagged.
+
+    Counts per hour tell how many stand before an hour's collections; only
+    those of one hour are numbered in one window.
+    """
+    flag = active.select(F.col("id").alias("active_id")).limit(1)  # one row
+    hour = F.coalesce(F.floor(F.unix_seconds("created_at") / 3600), F.lit(-(2**40)))  # without a time: last
+    sliced = collections.withColumn("hour", hour)
+    hours = sliced.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    before = hours.select("hour", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))  # a row per hour
+    w = Window.partitionBy("hour").orderBy(F.desc("created_at"), "ord")
+    placed = sliced.join(before, "hour").withColumn("place", (F.col("before") + F.row_number().over(w)).cast("int")).drop("hour", "before")
+    return placed.join(F.broadcast(flag), F.col("id") == F.col("active_id"), "left").withColumn("is_active", F.col("active_id").isNotNull()).drop("active_id")
 
 
 def bootstrap(collections: DataFrame, default_id: str, name: str, now) -> DataFrame:
