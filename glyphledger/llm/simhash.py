@@ -14,10 +14,14 @@ in the table of each segment and looks up the Hamming balls of radius 1, 1 and
 Complete distances are verified.  A table entry as wide as this stays small at
 billions of fingerprints, and what a ball costs is fixed (about 25 rows).
 
-A bucket of many fingerprints (a family of near copies) is grown from seeds
-that leave what they reach, so it costs few passes and not all pairs; only a
-forest of links leaves a task.  Components come from the linked tables, and a
-document gets the smallest doc_id that it reaches, itself included.
+A bucket of many fingerprints is grown from seeds that leave what they reach: a
+family of near copies costs few passes and not all pairs.  What SEEDS passes
+leave is cut into segments again, by the bits that the bucket does not share
+(14 or 15 each, with the same radii), so that members that are not linked do not
+cost all pairs either; of what that leaves together all is grown.  Only a forest
+of links leaves a task.  Components come from the linked tables, and a document
+gets the smallest doc_id that it reaches, itself included.  A bucket is held by
+one task: 25 rows of 17 bytes for each fingerprint near its key.
 
 Null texts are empty.  Null ids are passed over by the smallest id; a component
 of such rows only has a null one.  Repeated rows share their component.
@@ -25,6 +29,8 @@ of such rows only has a null one.  Repeated rows share their component.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,6 +48,8 @@ SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
 BLOCK = 1 << 20
 #: Pairs compared at once, and the bucket size from which seeds grow instead.
 PAIRS, LARGE = 1 << 20, 2048
+#: Passes over a large bucket before it is cut further.
+SEEDS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -150,26 +158,45 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _grow(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all of fps that are linked, each from the node that reached it."""
-    left, ends, heads = np.unique(fps), [], []
-    while len(left):
-        reached, left = [left[0]], left[1:]
-        while reached and len(left):
-            seed = reached.pop()
-            near = np.bitwise_count(left ^ seed) <= DISTANCE
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                ends.append(found)
-                heads.append(np.full(len(found), seed))
-                reached.extend(found)
+def _grow(fps: np.ndarray, passes: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that join all of fps that are linked, each from the node that reached it; and what so many passes did not come to."""
+    left, ends, heads, reached = np.unique(fps), [], [], []
+    while len(left) and passes > 0:
+        if not reached:
+            reached, left = [left[:1]], left[1:]
+        seed, rest = reached[-1][0], reached[-1][1:]
+        reached = [*reached[:-1], rest] if len(rest) else reached[:-1]
+        passes -= 1
+        near = np.bitwise_count(left ^ seed) <= DISTANCE
+        if near.any():
+            found = left[near]
+            left = left[~near]
+            ends.append(found)
+            heads.append(np.full(len(found), seed))
+            reached.append(found)
     none = np.zeros(0, fps.dtype)
-    return (np.concatenate(ends), np.concatenate(heads)) if ends else (none, none)
-
-
-def bucket_links(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the verified links in whole buckets."""
+    links = (np.concatenate(ends), np.concatenate(heads)) if ends else (none, none)
+    return *links, np.concatenate([*reached, left]) if len(left) else none
+
+
+def _cut_again(fps: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, probe, fp) of fingerprints that share a segment, by the other bits."""
+    first, bits, _ = SEGMENTS[segment]
+    after = first + bits
+    other = fps if after == 64 else (fps >> np.uint64(after)) | (fps << np.uint64(64 - after))  # the shared bits are now the highest
+    free, rows = 64 - bits, []
+    for k, radius in enumerate((1, 1, 0)):
+        low, high = free * k // 3, free * (k + 1) // 3
+        key = ((other >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+        rows.append(((k << 20) + key, np.zeros(len(fps), bool), fps))
+        for bit in range(high - low if radius else 0):
+            unset = (key >> bit) & 1 == 0
+            rows.append(((k << 20) + key[unset] + (1 << bit), np.ones(int(unset.sum()), bool), fps[unset]))
+    return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
+
+
+def bucket_links(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray, again: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the verified links in whole buckets; again: large ones may be cut further."""
     order = np.lexsort((probe, bucket))
     bucket, probe, fp = bucket[order], probe[order], fp[order]
     begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -177,9 +204,13 @@ def bucket_links(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> tuple
     ends, heads = [], []
     for k in np.flatnonzero(sizes > LARGE).tolist():
         if not probe[begins[k]]:
-            e, h = _grow(fp[begins[k] : begins[k] + sizes[k]])
+            e, h, rest = _grow(fp[begins[k] : begins[k] + sizes[k]], SEEDS if again else math.inf)
             ends.append(e)
             heads.append(h)
+            if len(rest):
+                e, h = bucket_links(*_cut_again(rest, int(bucket[begins[k]]) >> 22), False)
+                ends.append(e)
+                heads.append(h)
     begin = np.repeat(begins, sizes)
     homes = np.repeat(np.add.reduceat((~probe).astype(np.int64), begins), sizes)
     partners = np.where(np.repeat(sizes, sizes) > LARGE, 0, np.where(probe, homes, np.arange(len(fp)) - begin))

@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ def test_fingerprints_equal_the_definition():
     assert S.fingerprints(raw, at).tolist() == [brute(t) for t in texts]
 
 
-@pytest.mark.parametrize("large", [2048, 8])
-def test_links_lose_no_pair(monkeypatch, spark, large):
+@pytest.mark.parametrize(("large", "seeds"), [(2048, 256), (8, 256), (8, 3), (8, 0)])
+def test_links_lose_no_pair(monkeypatch, spark, large, seeds):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40).tolist()
     fps = {int(b) for b in base}
@@ -51,6 +52,7 @@ def test_links_lose_no_pair(monkeypatch, spark, large):
     fps = sorted(fps)
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     monkeypatch.setattr(S, "LARGE", large)
+    monkeypatch.setattr(S, "SEEDS", seeds)
     sent = S.probes(spark.createDataFrame([(f,) for f in signed], "fp long")).toPandas()
     u, v = S.bucket_links(sent.bucket.to_numpy(), sent.probe.to_numpy(), sent.fp.to_numpy().view(np.uint64))
     found = connected_components(spark.createDataFrame(list(zip(u.view(np.int64).tolist(), v.view(np.int64).tolist(), strict=True)), "u long, v long"))
@@ -60,6 +62,21 @@ def test_links_lose_no_pair(monkeypatch, spark, large):
     assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize("segment", range(3))
+def test_a_bucket_of_unlinked_fingerprints_is_no_square(segment):
+    first, bits, _ = S.SEGMENTS[segment]
+    rng = np.random.default_rng(segment)
+    mask = np.uint64(((1 << bits) - 1) << first)
+    fps = np.unique(rng.integers(0, 2**64, 40_000, np.uint64) & ~mask | np.uint64(5 << first))
+    linked = fps[:50] ^ np.uint64(1 << ((first + bits) % 64) | 1 << ((first + bits + 21) % 64) | 1 << ((first + bits + 35) % 64))
+    every = np.unique(np.concatenate([fps, linked]))
+    began = time.process_time()
+    u, v = S.bucket_links(np.full(len(every), segment << 22), np.zeros(len(every), bool), every)
+    assert time.process_time() - began < 20
+    pairs = {frozenset(p) for p in zip(u.tolist(), v.tolist(), strict=True)}
+    assert {frozenset(p) for p in zip(fps[:50].tolist(), linked.tolist(), strict=True)} <= pairs
+
+
 def test_components_of_documents(spark):
     text = " ".join(f"word{i}" for i in range(300))
     rows = [(5, text, 1), (3, text, 1), (9, text + " end", 1), (7, "something else that is said here only once", 1), (None, None, 1), (2, "", 1), (2, "", 1), (None, "alone in the world with five words", 1)]
