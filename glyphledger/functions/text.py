@@ -6,6 +6,8 @@ from the JVM's, so the patterns spell them out.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,13 @@ LANGUAGES = {
     "PT": ("pt", "Portuguese"), "JP": ("ja", "Japanese"), "KO": ("ko", "Korean"), "RU": ("ru", "Russian"), "ZH": ("zhs", "Chinese"),
 }
 RARITIES = "CURMBLST"
+MISREAD = {"|": "1", "\\": "1", "O": "0", "I": "1", "l": "1", "S": "5"}
 CODE_SCORE, RARITY_SCORE, NUMBER_SCORE, LANGUAGE_SCORE, LENGTH_SCORE = 50, 15, 30, 10, 5
 NUMBER = r"\d{3,5}"
-LANGUAGE = rf"(?<![0-9A-Za-z_])({'|'.join(LANGUAGES)})(?![0-9A-Za-z_])"
+#: Patterns name first what is rare, so that long texts are passed over by one class of letters.
+LANGUAGE = rf"(?=[{''.join(sorted({c[0] for c in LANGUAGES}))}])({'|'.join(LANGUAGES)})(?![0-9A-Za-z_])(?<![0-9A-Za-z_]..)"
+RARITY = rf"[{RARITIES}](?={SPACE})(?<={SPACE}.)"
+RUN = f"[{BLANKS}][{BLANKS} ]*| [{BLANKS} ]+"
 
 
 def trim_all(text: Column) -> Column:
@@ -28,8 +34,8 @@ def trim_all(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Trimmed, each run of white space one blank."""
-    return F.trim(F.regexp_replace(F.translate(text, BLANKS, " " * len(BLANKS)), " {2,}", " "))
+    """Trimmed, each run of white space one blank; single blanks, nearly all of them, are left alone."""
+    return F.trim(F.regexp_replace(text, RUN, " "))
 
 
 def clean_text(raw: Column) -> Column:
@@ -37,13 +43,17 @@ def clean_text(raw: Column) -> Column:
     text = squeeze(F.coalesce(raw, F.lit("")))
     text = F.regexp_replace(text, r"(?i)([CUMNR])\1+", "$1")
     text = F.regexp_replace(text, r"(\d)\1{3,}", "$1")
-    text = F.translate(text, "|\\OIlS", "110115")
-    return F.upper(squeeze(F.regexp_replace(text, r"[^0-9A-Za-z /]", "")))
+    for seen, meant in MISREAD.items():
+        text = F.replace(text, F.lit(seen), F.lit(meant))
+    text = F.regexp_replace(text, r"[^0-9A-Za-z /]+", "")
+    return F.upper(F.trim(F.regexp_replace(text, " {2,}", " ")))
 
 
 def code_pattern(codes: list[str] | None = None) -> str:
     """One alternation; where two codes fit at one place the first listed wins."""
-    return f"({'|'.join(codes or SET_CODES)})"
+    codes = codes or SET_CODES
+    first = "".join(sorted({re.escape(c[0]) for c in codes if c}))
+    return (f"(?=[{first}])" if all(codes) else "") + f"({'|'.join(codes)})"
 
 
 def score_text(text: Column, codes: list[str] | None = None) -> Column:
@@ -55,7 +65,7 @@ def score_text(text: Column, codes: list[str] | None = None) -> Column:
 
     return (
         points(t.rlike(code_pattern(codes)), CODE_SCORE)
-        + points(t.rlike(rf"{SPACE}[{RARITIES}]{SPACE}"), RARITY_SCORE)
+        + points(t.rlike(RARITY), RARITY_SCORE)
         + points(t.rlike(NUMBER), NUMBER_SCORE)
         + points(t.rlike(LANGUAGE), LANGUAGE_SCORE)
         + points((F.length(t) > 10) | (F.octet_length(F.encode(t, "UTF-16BE")) > 20), LENGTH_SCORE)  # counted in UTF-16 units

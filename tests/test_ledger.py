@@ -120,3 +120,19 @@ def test_caches(spark):
         rows = spark.createDataFrame([(f"k{i}", None if i == 3 else (i + 1) * 1000) for i in range(n)], "key string, ts_ms long")
         kept = sorted(r["key"] for r in caches.evict(rows).collect())
         assert len(kept) == left and (n < 4 or "k3" not in kept)
+    many = [(f"{'xyz'[i % 3]}{i}", None if i % 3 else (i % 2 - 1) * 7_200_000 + i) for i in range(60)]
+    gone = sorted(many, key=lambda r: (r[1] or 0, r[0]))[:15]
+    kept = caches.evict(spark.createDataFrame(many, "key string, ts_ms long")).collect()
+    assert sorted(r["key"] for r in kept) == sorted(k for k, _ in set(many) - set(gone))
+
+
+def test_list_and_clears_over_many_days(spark):
+    rows = [(i, f"id{i:02d}", f"n{i}", None if i % 9 == 0 else f"2024-01-{1 + i % 5:02d} 0{i % 3}:30:{i % 2:02d}", 0) for i in range(50)]
+    c = spark.createDataFrame(rows, "ord int, id string, name string, at string, card_count int").withColumn("created_at", F.col("at").cast("timestamp")).drop("at")
+    got = [r["id"] for r in colls.listing(c, spark.createDataFrame([("id03",)], "id string")).orderBy("place").collect()]
+    assert got == [r[1] for r in sorted(sorted(rows, key=lambda r: r[0]), key=lambda r: r[3] or "", reverse=True)]
+    events = [("a", "k", None if i < 3 else f"2024-01-{1 + i // 6:02d} 0{i % 6}:00:00", i, "clear" if i % 7 == 3 else "inc") for i in range(60)]
+    e = spark.createDataFrame(events, "collection string, key string, t string, seq long, op string").withColumn("ts", F.col("t").cast("timestamp"))
+    seen = {r["seq"]: r["clears"] for r in led.with_clears(e).collect()}
+    order = sorted(events, key=lambda r: (r[2] or "", r[3]))
+    assert seen == {r[3]: sum(x[4] == "clear" for x in order[: k + 1]) for k, r in enumerate(order)}
