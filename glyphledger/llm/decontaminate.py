@@ -387,7 +387,7 @@ def _pieces(item: str, text: str, most: int, size: int):
 
 
 def _packer(size: int, most: int):
-    """Rows (item, text) into blocks of at most that size."""
+    """Rows (block, item, text), sorted by block, into packed blocks of at most that size."""
 
     def packed(items):
         made = windows_of(items, size)
@@ -397,16 +397,17 @@ def _packer(size: int, most: int):
         return [pickle.dumps(made)]
 
     def run(batches):
-        held, chars = [], 0
+        held, chars, now = [], 0, None
         for batch in batches:
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, item, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for piece in _pieces(item, text, most // 8, size):
-                    held.append(piece)
-                    chars += len(piece[1])
-                    if chars > most // 2:
+                    if held and (block != now or chars > most // 2):
                         for blob in packed(held):
                             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["block"])
                         held, chars = [], 0
+                    now = block
+                    held.append(piece)
+                    chars += len(piece[1])
         for blob in packed(held) if held else []:
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["block"])
 
@@ -414,11 +415,12 @@ def _packer(size: int, most: int):
 
 
 def pack_windows(benchmark: DataFrame, size: int = WINDOW, packed_bytes: int = PACKED_BYTES, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """(block): the benchmark's windows, packed by as many tasks as its text needs."""
+    """(block): the benchmark's windows; how many blocks there are depends on its text, not on how its rows are dealt."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).filter(F.col("i").isNotNull() | (F.col("t") != ""))
-    rows = rows.select(F.coalesce("i", F.lit("")).alias("i"), "t")
+    rows = rows.select(F.coalesce("i", F.lit("")).alias("i"), "t").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    return rows.repartition(total // item_bytes + 1, F.xxhash64("i", "t")).mapInArrow(_packer(size, packed_bytes), "block binary")
+    dealt = rows.select(F.pmod(F.xxhash64("i", "t"), F.lit(total // item_bytes + 1)).alias("block"), "i", "t")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_packer(size, packed_bytes), "block binary")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = WINDOW, packed_bytes: int = PACKED_BYTES, item_bytes: int = ITEM_BYTES) -> DataFrame:

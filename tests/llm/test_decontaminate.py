@@ -49,6 +49,9 @@ def test_spans_equal_brute_force(spark, monkeypatch):
         assert all(r["n_hit"] == sum(e - s for s, e in r["spans"]) for r in found)
     other = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in ("n_hit", "spans", "items", "n_words")])
     assert {r["doc_id"]: r["n_hit"] for r in D.find_contamination(other, bench, other.columns).collect()} == {k: v[1] for k, v in want.items()}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")  # the number of blocks is the text's
+    assert D.pack_windows(bench.repartition(20)).count() == 1 and D.pack_windows(bench, item_bytes=100).count() > 5
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert D.find_contamination(docs.limit(0), bench, ["doc_id"]).count() == 0
     assert D.find_contamination(docs, bench.limit(0), ["doc_id"]).filter("n_hit > 0").count() == 0
 
@@ -82,7 +85,7 @@ def test_packing_is_linear_and_counts_what_is_sent():
     made = D.windows_of(items)
     assert time.process_time() - began < 20
     assert made.size < 15 * len(text) and len(made.starts) > 390_000
-    blocks = [b for batch in D._packer(10, 1 << 20)([D.pa.RecordBatch.from_arrays([D.pa.array(c) for c in zip(*items, strict=True)], names=["i", "t"])]) for b in batch.column(0).to_pylist()]
+    blocks = [b for batch in D._packer(10, 1 << 20)([D.pa.RecordBatch.from_arrays([D.pa.array(c) for c in zip(*((0, *i) for i in items), strict=True)], names=["b", "i", "t"])]) for b in batch.column(0).to_pylist()]
     assert len(blocks) > 5 and max(map(len, blocks)) < (1 << 20) + 5000
 
 
