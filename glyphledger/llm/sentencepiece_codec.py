@@ -13,8 +13,8 @@ its segments (a run of blanks and what follows it; line feeds too begin one if
 no piece spans them), whatever the text: its segments are cut by the byte, each
 different one of a block is looked up, and those that are new to the worker are
 encoded, compared and decoded in multithreaded batches.  Segments of more than
-MEMO_CHARS are not kept, so what a worker remembers is bounded.  Other models
-take whole texts.
+MEMO_CHARS are not remembered and beyond MEMO all are forgotten, so what a
+worker holds is bounded.  Other models take whole texts.
 
 Null texts are empty and have no ids; nothing is shuffled; repeated rows each
 get theirs.  Columns of keep that have a name of the result's give way to it.
@@ -24,6 +24,9 @@ from __future__ import annotations
 
 import os
 import struct
+from itertools import chain
+from operator import eq
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +141,15 @@ class Model:
         return sentencepiece.SentencePieceProcessor(model_proto=self.data if prefix else self.data + bytes([0x1A, 2, 0x18, 0]))
 
 
+class _Coded(NamedTuple):
+    """Ids of texts one after another, where each text's begin and the last's end, and what was found of each."""
+
+    ids: np.ndarray
+    at: np.ndarray
+    parity: np.ndarray
+    trip: np.ndarray
+
+
 class Codec:
     def __init__(self, path: str):
         # Read when a batch is encoded: the library then uses that many threads.
@@ -149,14 +161,21 @@ class Codec:
         self.reference, self.reference_part = m.reference(True), m.reference(False)
         self.by_segments = m.prefix and m.escape and not m.squeeze and not m.charsmap and not m.spans(MARK) and not any(kind == USER for *_, kind in m.pieces)
         self.at_lines = not any("\n" in p and len(p) > 1 for p, _, kind in m.pieces if kind == NORMAL)
-        self.memo: dict[str, tuple[bytes, bool, bool]] = {}
+        self._forget()
 
-    def _checked(self, tokenizer, reference, texts: list[str], marked: list[str] | None = None) -> list[tuple[bytes, bool, bool]]:
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.coded = _Coded(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool))
+
+    def _checked(self, tokenizer, reference, texts: list[str], marked: list[str] | None = None) -> _Coded:
         """Of each text: its ids, whether the sentencepiece library's are the same, and whether they decode to the text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         own = [e.ids for e in tokenizer.encode_batch_fast(marked or texts, add_special_tokens=False)]
         other, back = reference.encode(texts, num_threads=1), tokenizer.decode_batch(own, skip_special_tokens=True)
-        return [(np.array(a, np.int32).tobytes(), a == b, c == t) for a, b, c, t in zip(own, other, back, texts, strict=True)]
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
+        ids = np.fromiter(chain.from_iterable(own), np.int32, int(at[-1]))
+        alike = lambda a, b: np.ones(len(a), bool) if a == b else np.fromiter(map(eq, a, b), bool, len(a))
+        return _Coded(ids, at, alike(own, other), alike(back, texts))
 
     def _cut(self, raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The segments of all rows, a blank before each row that is not empty, and where each row's begin and the last's end."""
@@ -177,37 +196,40 @@ class Codec:
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, where each text's begin (and the last's end), and of each text whether both libraries agree and whether it decodes to itself."""
-        if self.by_segments:
-            cut, row_at = self._cut(raw, at)
-            coded = cut.dictionary_encode()
-            known, which = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-            found = self._looked_up(known)
-        else:
+        if not self.by_segments:
             data = raw.tobytes()
-            known = [data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            found, which, row_at = self._checked(self.whole, self.reference, known), np.arange(len(known)), np.arange(len(known) + 1)
-        size = np.array([len(x) // 4 for x, _, _ in found], np.int64)
-        begin = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(x for x, _, _ in found), np.int32)
-        n = size[which]
+            found = self._checked(self.whole, self.reference, [data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            return found.ids, found.at, found.parity, found.trip
+        cut, row_at = self._cut(raw, at)
+        coded = cut.dictionary_encode()
+        which = self._looked_up(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        begin = self.coded.at[which]
+        n = self.coded.at[which + 1] - begin
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = self.coded.ids[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
 
-        def throughout(k):
-            wrong = np.concatenate([[0], np.cumsum(~np.array([x[k] for x in found], bool)[which])])
+        def throughout(sound):
+            wrong = np.concatenate([[0], np.cumsum(~sound[which])])
             return wrong[row_at[1:]] == wrong[row_at[:-1]]
 
-        return ids, ends[row_at], throughout(1), throughout(2)
-
-    def _looked_up(self, segments: list[str]) -> list[tuple[bytes, bool, bool]]:
-        new = [s for s in segments if s not in self.memo]
-        fresh = dict(zip(new, self._checked(self.part, self.reference_part, new, [s.replace(" ", MARK) for s in new]), strict=True)) if new else {}
-        found = [fresh.get(s) or self.memo[s] for s in segments]
-        short = {s: x for s, x in fresh.items() if len(s) <= MEMO_CHARS}
-        if len(self.memo) + len(short) > MEMO:
-            self.memo.clear()
-        self.memo.update(short)
-        return found
+        return ids, ends[row_at], throughout(self.coded.parity), throughout(self.coded.trip)
+
+    def _looked_up(self, segments: list[str]) -> np.ndarray:
+        """Where in coded each segment stands; what is new goes there, and short ones are remembered."""
+        get = self.memo.get
+        place = np.fromiter((get(s, -1) for s in segments), np.int64, len(segments))
+        if len(self.coded.at) + int((place < 0).sum()) > MEMO:
+            self._forget()
+            place[:] = -1
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            texts, had = [segments[i] for i in new.tolist()], self.coded
+            fresh = self._checked(self.part, self.reference_part, texts, [s.replace(" ", MARK) for s in texts])
+            first = len(had.at) - 1
+            place[new] = first + np.arange(len(new))
+            self.coded = _Coded(*(np.concatenate(x) for x in ((had.ids, fresh.ids), (had.at, fresh.at[1:] + had.at[-1]), (had.parity, fresh.parity), (had.trip, fresh.trip))))
+            self.memo.update((s, k) for k, s in enumerate(texts, first) if len(s) <= MEMO_CHARS)
+        return place
 
 
 _codecs: dict[str, Codec] = {}
