@@ -288,12 +288,11 @@ def audit(spark, a: Trees, b: Trees) -> DataFrame:
     shards = [s for s in range(a.shards) if left.get(s) != right.get(s)]
     x, y = (_roots(spark, t, shards).select("archive", F.col("digest").alias(d)) for t, d in ((a, "x"), (b, "y")))
     differing = _kept(x.join(y, "archive", "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).select("archive"))
-    open_a = open_b = None
+    above = None
     for level in range(max(a.levels, b.levels), -1, -1):
-        here = [_under(_level(spark, t, level, shards), differing, above, level) for t, above in ((a, open_a), (b, open_b))]
-        open_a, open_b = _left_over(*here, ["archive", "record_id", "digest"] if level == 0 else ["archive", "digest"])
-        open_a, open_b = _kept(open_a), _kept(open_b)
-    found = _kept(_matched(open_a, open_b))
+        nodes = _level(spark, a, level, shards).withColumn("side", F.lit(0)).unionByName(_level(spark, b, level, shards).withColumn("side", F.lit(1)))
+        above = _kept(_left_over(_under(nodes, differing, above), ["archive", "record_id", "digest"] if level == 0 else ["archive", "digest"]))
+    found = _kept(_matched(above))
     quiet = differing.join(found.select("archive").distinct(), "archive", "left_anti").select("archive", F.lit("order").alias("kind"))
     return found.unionByName(quiet, allowMissingColumns=True)
 
@@ -302,44 +301,28 @@ def _kept(df: DataFrame) -> DataFrame:
     return materialize(df, "differing")
 
 
-def _under(nodes: DataFrame, differing: DataFrame, above: DataFrame | None, level: int) -> DataFrame:
-    """Nodes of a level that are roots of differing archives, or children of nodes that differ."""
+def _under(nodes: DataFrame, differing: DataFrame, above: DataFrame | None) -> DataFrame:
+    """Nodes of a level, of both sides, that are roots of differing archives or children of nodes that differ."""
     roots = nodes.filter("parent IS NULL").join(differing, "archive", "left_semi")
     if above is None:
         return roots
-    parents = above.select("archive", F.col("node").alias("parent"))
-    return roots.unionByName(nodes.filter("parent IS NOT NULL").join(parents, ["archive", "parent"], "left_semi"))
+    parents = above.select("archive", "side", F.col("node").alias("parent"))
+    return roots.unionByName(nodes.filter("parent IS NOT NULL").join(parents, ["archive", "side", "parent"], "left_semi").select(*roots.columns))
 
 
-def _left_over(x: DataFrame, y: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of each side without a partner of the same key on the other, as often as they stand there."""
-    w = Window.partitionBy(*key).orderBy("offset", "node")
-    x, y = (d.withColumn("nth", F.row_number().over(w)) for d in (x, y))
-    names = [*key, "nth"]
+def _left_over(nodes: DataFrame, key: list[str]) -> DataFrame:
+    """Rows without a partner of the same key on the other side, as often as they stand there."""
+    same = Window.partitionBy(*key)
+    counts = [F.count_if(F.col("side") == s).over(same) for s in (0, 1)]
+    nth = F.row_number().over(Window.partitionBy(*key, "side").orderBy("offset", "node"))
+    return nodes.withColumns({"pairs": F.least(*counts), "nth": nth}).filter("nth > pairs").drop("pairs", "nth")
 
-    def without(p, q):
-        q = q.select(*[F.col(n).alias(f"q_{n}") for n in names])
-        same = F.lit(True)
-        for n in names:
-            same = same & p[n].eqNullSafe(q[f"q_{n}"])
-        return p.join(q, same, "left_anti").drop("nth")
 
-    return without(x, y), without(y, x)
-
-
-def _matched(x: DataFrame, y: DataFrame) -> DataFrame:
+def _matched(records: DataFrame) -> DataFrame:
     """Records left on both sides side by side, by id and then by order; unreadable ranges stand alone."""
-    w = Window.partitionBy("archive", "record_id").orderBy("offset", "node")
-
-    def side(d, s):
-        d = d.filter("readable").withColumn("nth", F.row_number().over(w))
-        return d.select("archive", "record_id", "nth", *[F.col(n).alias(f"{n}_{s}") for n in ("offset", "length", "digest")])
-
-    both = side(x, "a").join(side(y, "b"), ["archive", "record_id", "nth"], "full_outer")
-    kind = F.when(F.col("digest_b").isNull(), "lost").when(F.col("digest_a").isNull(), "added").otherwise("changed")
-    columns = ["archive", "kind", "record_id", "offset_a", "length_a", "digest_a", "offset_b", "length_b", "digest_b"]
-    out = both.withColumn("kind", kind).select(*columns)
-    for d, s in ((x, "a"), (y, "b")):
-        bad = d.filter("NOT readable").select("archive", F.lit("unreadable").alias("kind"), *[F.col(n).alias(f"{n}_{s}") for n in ("offset", "length", "digest")])
-        out = out.unionByName(bad, allowMissingColumns=True)
-    return out
+    w = Window.partitionBy("archive", "record_id", "readable", "side").orderBy("offset", "node")
+    place = F.when(F.col("readable"), F.row_number().over(w)).otherwise(F.row_number().over(w) * 2 + F.col("side"))
+    side = lambda s: [F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{n}_{'ab'[s]}") for n in ("offset", "length", "digest")]
+    both = records.withColumn("place", place).groupBy("archive", "record_id", "readable", "place").agg(*side(0), *side(1))
+    kind = F.when(~F.col("readable"), "unreadable").when(F.col("digest_b").isNull(), "lost").when(F.col("digest_a").isNull(), "added").otherwise("changed")
+    return both.select("archive", kind.alias("kind"), "record_id", "offset_a", "length_a", "digest_a", "offset_b", "length_b", "digest_b")
