@@ -69,10 +69,9 @@ def op5_warc_fixity(spark, sf_dir):
     fate = F.coalesce(F.col("page_id") * 48271 % 1009, F.lit(-1))
     half = F.floor(F.length("html") / 2).cast("int")
     changed = F.concat(F.substring("html", 1, half), F.lit("~"), F.substring("html", half + 2, F.length("html")))
-    a, b = scratch_path(spark, "replica"), scratch_path(spark, "replica")
-    write_archives(pages.filter(~fate.between(30, 34)), F.col("html"), a)
-    write_archives(pages.filter(~fate.between(25, 29)), F.when(fate.between(0, 24), changed).otherwise(F.col("html")), b)
-    return audit(spark, *(write_trees(read_trees(spark, p, written_name)) for p in (a, b)))
+    there = {"a": (~fate.between(30, 34), F.col("html")), "b": (~fate.between(25, 29), F.when(fate.between(0, 24), changed).otherwise(F.col("html")))}
+    folders = write_archives(pages, there, scratch_path(spark, "replicas"))
+    return audit(spark, *(write_trees(read_trees(spark, folders[k], written_name)) for k in "ab"))
 
 
 def op7_simhash(spark, sf_dir):

@@ -65,18 +65,21 @@ def record_text(record_id, url, body):
     return F.concat(head, F.coalesce(body, F.lit("")))
 
 
-def write_archives(pages: DataFrame, body, path: str, id_col: str = "page_id", url_col: str = "url", archive_records: int = ARCHIVE_RECORDS) -> None:
-    """Writes pages with that body column as gzip archives under path, one for so many neighbouring ids.
+def write_archives(pages: DataFrame, replicas: dict, path: str, id_col: str = "page_id", url_col: str = "url", archive_records: int = ARCHIVE_RECORDS) -> dict[str, str]:
+    """Writes replicas of pages, {name: (which rows, their body)}, as gzip archives, one for so many neighbouring ids; gives their folders.
 
-    Null ids are spread by url.  An archive that repeated ids make four times as
-    long goes on in further files, so no file is unbounded.
+    The pages are shuffled once for all replicas.  Null ids are spread by url.
+    An archive that repeated ids make four times as long goes on in further
+    files, so no file is unbounded.
     """
-    record = record_text(F.col(id_col), F.col(url_col), body)
     name = F.coalesce(F.floor(F.col(id_col) / archive_records).cast("string"), F.concat(F.lit("none-"), F.crc32(F.coalesce(F.col(url_col), F.lit("")).cast("binary")) % 1024))
-    rows = pages.select(name.alias("archive"), F.col(id_col).alias("i"), record.alias("value"))
-    rows = rows.repartition("archive").sortWithinPartitions("archive", "i", "value").select("archive", "value")
+    dealt = pages.withColumn("__archive", name).repartition("__archive")
+    copies = [F.when(rows, F.struct(F.lit(k).alias("replica"), record_text(F.col(id_col), F.col(url_col), body).alias("value"))) for k, (rows, body) in replicas.items()]
+    rows = dealt.select(F.col("__archive").alias("archive"), F.col(id_col).alias("i"), F.explode(F.array(*copies)).alias("c")).filter("c IS NOT NULL")
+    rows = rows.select("c.replica", "archive", "i", "c.value").sortWithinPartitions("replica", "archive", "i", "value").select("replica", "archive", "value")
     out = rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", END).option("maxRecordsPerFile", 4 * archive_records)
-    out.partitionBy("archive").text(path)
+    out.partitionBy("replica", "archive").text(path)
+    return {k: f"{path}/replica={k}" for k in replicas}
 
 
 def written_name(name):
@@ -221,11 +224,15 @@ def read_trees(spark, path: str, name=lambda relative: relative) -> DataFrame:
     name maps the column of these paths to the archives' names.
     """
     prepare(spark)
+    schema = "archive string, level int, node long, parent long, offset long, length long, digest string, record_id string, readable boolean"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    root = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(p):  # a replica without records
+        return spark.createDataFrame([], schema)
+    root = store.makeQualified(p).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,gz,txt}").load(path)
     below = F.expr(f"substring(path, {len(root) + 2})")
-    return files.select(name(below).alias("archive"), "content").mapInArrow(_read, "archive string, level int, node long, parent long, offset long, length long, digest string, record_id string, readable boolean")
+    return files.select(name(below).alias("archive"), "content").mapInArrow(_read, schema)
 
 
 @dataclass(frozen=True)

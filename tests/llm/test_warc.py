@@ -109,9 +109,9 @@ def test_query_equals_sql_and_takes_null_ids(spark, tmp_path):
     assert sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
     assert {r["kind"] for r in got.collect()} == {"changed", "lost", "added"}
     odd = spark.createDataFrame([(None, None, None), (None, None, None), (None, "u", "x"), (5, "u", ""), (5, "u", "")], "page_id long, url string, html string")
-    for name, body in (("c", F.col("html")), ("d", F.concat("html", F.lit("?")))):
-        W.write_archives(odd, body, f"{tmp_path}/{name}")
-    t = [W.write_trees(W.read_trees(spark, f"{tmp_path}/{n}", W.written_name)) for n in "cd"]
+    every = F.lit(True)
+    at = W.write_archives(odd, {"c": (every, F.col("html")), "d": (every, F.concat("html", F.lit("?")))}, f"{tmp_path}/odd")
+    t = [W.write_trees(W.read_trees(spark, p, W.written_name)) for p in at.values()]
     assert sorted(r["record_id"] for r in W.audit(spark, *t).collect()) == ["urn:page:", "urn:page:5", "urn:page:5"]
-    W.write_archives(odd.limit(0), F.col("html"), f"{tmp_path}/e")
-    assert W.read_trees(spark, f"{tmp_path}/e").count() == 0
+    at = W.write_archives(odd.limit(0), {"e": (every, F.col("html"))}, f"{tmp_path}/none")
+    assert W.read_trees(spark, at["e"]).count() == 0
