@@ -331,12 +331,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """(text, label) of at most so many rows of each class, none of them held out; the bound holds for what the driver gets."""
     ids = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    some = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     short = docs.select("doc_id", F.col("text").alias("text")).filter(F.length("text") <= chars)
-    found = []
-    for y in (0, 1):
-        some = ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        found += [(r["text"], y) for r in short.join(F.broadcast(some), "doc_id").select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(rows).collect()]
-    return found
+    # One pass over the documents; of rows that share an id the one with the least text, so there are no more rows than ids.
+    found = short.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = found.select("y", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect()
+    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["y"], r["h"], r["doc_id"]))]
 
 
 def innocent_words(texts: list[str], toxic: list[int], automaton: TrieAutomaton, least: int = 4, odds: float = 1.0) -> list[str]:
