@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 from .raster import BLOCK, DARK, EDGE_SHARE, SOBEL_THRESHOLD, TOLERANCE
 
 FOUND = "image_id long, status string, bottom_edge int, left_edge int, is_foil boolean, start_y int, band_height int, used_enhanced boolean"
+PLACED = {"y": "int", "x": "int", "r": "double", "g": "double", "b": "double"}
 NONE = dict.fromkeys(["bottom_edge", "left_edge", "is_foil", "start_y", "band_height", "used_enhanced"])
 
 
 def image_arrays(pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, width, height, r, g, b): a row per image, its channels row by row."""
-    rows = pixels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
-    channels = [F.col(f"p.{c}").cast("array<double>").alias(c) for c in "rgb"]
-    return images.select("image_id", "width", "height").join(rows, "image_id", "left").select("image_id", "width", "height", *channels)
+    """(image_id, width, height, y, x, r, g, b): a row per image, with the places of its pixels and their channels; empty arrays without pixels."""
+    rows = pixels.groupBy("image_id").agg(F.collect_list(F.struct(*[F.col(c).cast(t).alias(c) for c, t in PLACED.items()])).alias("p"))
+    arrays = [F.coalesce(f"p.{c}", F.array().cast(f"array<{t}>")).alias(c) for c, t in PLACED.items()]
+    return images.select("image_id", "width", "height").join(rows, "image_id", "left").select("image_id", "width", "height", *arrays)
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
@@ -101,11 +102,37 @@ def text_band(gray: np.ndarray) -> tuple[int, int, bool]:
     return (top, end - top, True) if top > 0 and end > 0 else (h - low, low, False)
 
 
+def quarter(height: int, width: int) -> tuple[slice, slice]:
+    """Rows and columns of the lower left quarter, the only one that is looked at."""
+    top = height // 2
+    return slice(top, 2 * top), slice(0, width // 2)
+
+
+def placed(y: np.ndarray, x: np.ndarray, channels: list[np.ndarray], height: int, width: int) -> np.ndarray:
+    """The image (3, height, width), not a number where it has no pixel; of the quarter that is looked at, all pixels have to be there once, or none."""
+    if len(y) and not (0 <= y.min() and y.max() < height and 0 <= x.min() and x.max() < width):
+        raise ValueError(f"pixels outside of {height} rows of {width}")
+    times = np.bincount(y.astype(np.int64) * width + x, minlength=height * width).reshape(height, width)[quarter(height, width)]
+    if (times > 1).any():
+        raise ValueError(f"{(times > 1).sum()} pixels more than once in the lower left quarter")
+    if 0 < times.sum() < times.size:
+        raise ValueError(f"{times.sum()} of {times.size} pixels in the lower left quarter")
+    rgb = np.full((3, height, width), np.nan)
+    rgb[:, y, x] = channels
+    return rgb
+
+
+def whole(channels: list[np.ndarray | None], height: int, width: int) -> np.ndarray:
+    """The image (3, height, width) of channels that hold it row by row."""
+    rgb = np.stack(channels) if all(c is not None for c in channels) else np.zeros((3, 0))
+    if rgb.shape[1] != height * width:
+        raise ValueError(f"{rgb.shape[1]} of {height * width} pixels")
+    return rgb.reshape(3, height, width)
+
+
 def detect_image(rgb: np.ndarray) -> dict:
     """All steps for one image (3, height, width)."""
-    _, height, width = rgb.shape
-    top = height // 2
-    card = rgb[:, top : 2 * top, : width // 2]
+    card = rgb[:, *quarter(*rgb.shape[1:])]
     w = card.shape[2]
     bottom = dark_lines(luma(card)[:, max(0, w - max(3, int(np.floor(w * 0.15)))) :], 1)
     if not len(bottom):
@@ -128,15 +155,20 @@ def _detector(batches):
         rows = []
         for k in range(batch.num_rows):
             image, width, height = (batch.column(i)[k].as_py() for i in range(3))
-            channels = [batch.column(i)[k].values for i in (3, 4, 5)]
-            size = (width or 0) * (height or 0)
-            rgb = np.stack([np.asarray(c) for c in channels]) if all(c is not None for c in channels) else np.zeros((3, 0))
-            if rgb.shape[1] != size:
-                raise ValueError(f"image {image} has {rgb.shape[1]} of {size} pixels")
-            rows.append({"image_id": image} | detect_image(rgb.reshape(3, height or 0, width or 0)))
+            size = (height or 0, width or 0)
+            y, x, *channels = (None if (v := batch.column(i)[k].values) is None else np.asarray(v) for i in range(3, 8))
+            try:
+                rgb = whole(channels, *size) if y is None else placed(y, x, channels, *size)
+            except ValueError as e:
+                raise ValueError(f"image {image}: {e}") from e
+            rows.append({"image_id": image} | detect_image(rgb))
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
 
 def detect(arrays: DataFrame) -> DataFrame:
-    """The whole detection: a row per image (image_id, width, height, r, g, b); coordinates are those of each step's raster, as its crop left it."""
-    return arrays.select(F.col("image_id").cast("long"), "width", "height", "r", "g", "b").mapInArrow(_detector, FOUND)
+    """The whole detection: a row per image (image_id, width, height, r, g, b, and y, x unless the channels are row by row); coordinates are those of each step's raster, as its crop left it.
+
+    An image without pixels in its lower left quarter has no bottom edge.
+    """
+    columns = [(F.col(c) if c in arrays.columns else F.lit(None)).cast(f"array<{t}>").alias(c) for c, t in PLACED.items()]
+    return arrays.select(F.col("image_id").cast("long"), "width", "height", *columns).mapInArrow(_detector, FOUND)

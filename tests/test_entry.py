@@ -41,3 +41,16 @@ def test_query(spark, duck, name):
 
 def _num(v):
     return float(v) if isinstance(v, int) and not isinstance(v, bool) else v if not hasattr(v, "as_tuple") else float(v)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_detect_card_with_images_cut_short(spark, duck, tmp_path):
+    """Four vectors make an image; here some images lack up to three of theirs."""
+    duck.execute(f"COPY (SELECT * FROM embeddings WHERE hash(vec_id) % 5 < 3 OR vec_id < 40) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    cut = duckdb.connect()
+    cut.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    df = QUERIES["detect_card"](spark, str(tmp_path))
+    want = cut.execute(SQL["detect_card"]).fetchall()
+    assert [d[0] for d in cut.description] == df.columns
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want))
+    assert len({r[1] for r in want}) > 1

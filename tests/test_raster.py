@@ -58,6 +58,18 @@ def test_no_edge_and_small_rasters(spark):
     assert (band["start_y"], band["band_height"], band["used_enhanced"]) == (7, 1, False)
 
 
+def test_pixels_that_are_missing(spark):
+    p, i = raster(spark, [card()] * 3)
+    kept = p.filter("image_id = 0 OR image_id = 1 AND x < 20 AND y >= 30 OR image_id = 2 AND x >= 20")
+    full, quarter, none = (r[1:] for r in sorted(map(tuple, de.detect(de.image_arrays(kept.repartition(3), i)).collect())))
+    assert full == quarter and full[0] == "found" and none == ("no bottom edge", *[None] * 6)
+    with pytest.raises(Exception, match="more than once"):
+        de.detect(de.image_arrays(p.unionByName(p.filter("x = 3")), i)).collect()
+    flat = [float(v) for v in card().ravel()]
+    rows = spark.createDataFrame([(0, 40, 60, flat, flat, flat)], "image_id long, width int, height int, r array<double>, g array<double>, b array<double>")
+    assert tuple(de.detect(rows).first())[1:] == full
+
+
 def test_one_pass_equals_the_steps(spark):
     rng = np.random.default_rng(2)
     arrays = []
