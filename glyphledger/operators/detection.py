@@ -2,9 +2,9 @@
 
 The single steps are operators over pixel rows (raster.py).  In a row, each of
 them would deal all pixels anew; here the pixels of an image meet once, as
-arrays in the order of rows, and one pass makes all steps, so a table of images
-is shuffled once, and a table that holds images as arrays not at all.  What one
-task holds is one image.
+arrays with their places, and one pass makes all steps, so a table of images is
+shuffled once, and a table that holds images as arrays, or pixels dealt by image
+before, not at all.  A step works on one image.
 """
 
 from __future__ import annotations
@@ -22,8 +22,13 @@ NONE = dict.fromkeys(["bottom_edge", "left_edge", "is_foil", "start_y", "band_he
 
 
 def image_arrays(pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, width, height, y, x, r, g, b): a row per image, with the places of its pixels and their channels; empty arrays without pixels."""
-    rows = pixels.groupBy("image_id").agg(F.collect_list(F.struct(*[F.col(c).cast(t).alias(c) for c, t in PLACED.items()])).alias("p"))
+    """(image_id, width, height, y, x, r, g, b): a row per image, with the places of its pixels and their channels; empty arrays without pixels.
+
+    Pixels above or right of every image's lower left quarter, which nothing looks at, are not moved.
+    """
+    top, right = (images.select(f(F.floor(F.coalesce(c, F.lit(0)) / 2))).scalar() for f, c in ((F.min, "height"), (F.max, "width")))
+    near = pixels.filter((F.col("y") >= top) & (F.col("x") < right))
+    rows = near.groupBy("image_id").agg(F.collect_list(F.struct(*[F.col(c).cast(t).alias(c) for c, t in PLACED.items()])).alias("p"))
     arrays = [F.coalesce(f"p.{c}", F.array().cast(f"array<{t}>")).alias(c) for c, t in PLACED.items()]
     return images.select("image_id", "width", "height").join(rows, "image_id", "left").select("image_id", "width", "height", *arrays)
 
@@ -102,37 +107,32 @@ def text_band(gray: np.ndarray) -> tuple[int, int, bool]:
     return (top, end - top, True) if top > 0 and end > 0 else (h - low, low, False)
 
 
-def quarter(height: int, width: int) -> tuple[slice, slice]:
-    """Rows and columns of the lower left quarter, the only one that is looked at."""
-    top = height // 2
-    return slice(top, 2 * top), slice(0, width // 2)
-
-
 def placed(y: np.ndarray, x: np.ndarray, channels: list[np.ndarray], height: int, width: int) -> np.ndarray:
-    """The image (3, height, width), not a number where it has no pixel; of the quarter that is looked at, all pixels have to be there once, or none."""
-    if len(y) and not (0 <= y.min() and y.max() < height and 0 <= x.min() and x.max() < width):
-        raise ValueError(f"pixels outside of {height} rows of {width}")
-    times = np.bincount(y.astype(np.int64) * width + x, minlength=height * width).reshape(height, width)[quarter(height, width)]
+    """The lower left quarter (3, height, width) of an image's pixels, all of which have to be there once, or none; then it is not a number."""
+    top, w = height // 2, width // 2
+    near = (y >= top) & (y < 2 * top) & (x >= 0) & (x < w)
+    at = (y[near].astype(np.int64) - top) * w + x[near]
+    times = np.bincount(at, minlength=top * w)
     if (times > 1).any():
         raise ValueError(f"{(times > 1).sum()} pixels more than once in the lower left quarter")
-    if 0 < times.sum() < times.size:
-        raise ValueError(f"{times.sum()} of {times.size} pixels in the lower left quarter")
-    rgb = np.full((3, height, width), np.nan)
-    rgb[:, y, x] = channels
-    return rgb
+    if 0 < len(at) < top * w:
+        raise ValueError(f"{len(at)} of {top * w} pixels in the lower left quarter")
+    rgb = np.full((3, top * w), np.nan)
+    rgb[:, at] = [c[near] for c in channels]
+    return rgb.reshape(3, top, w)
 
 
-def whole(channels: list[np.ndarray | None], height: int, width: int) -> np.ndarray:
-    """The image (3, height, width) of channels that hold it row by row."""
+def cropped(channels: list[np.ndarray | None], height: int, width: int) -> np.ndarray:
+    """The lower left quarter (3, height, width) of channels that hold an image row by row."""
     rgb = np.stack(channels) if all(c is not None for c in channels) else np.zeros((3, 0))
     if rgb.shape[1] != height * width:
         raise ValueError(f"{rgb.shape[1]} of {height * width} pixels")
-    return rgb.reshape(3, height, width)
+    top = height // 2
+    return rgb.reshape(3, height, width)[:, top : 2 * top, : width // 2]
 
 
-def detect_image(rgb: np.ndarray) -> dict:
-    """All steps for one image (3, height, width)."""
-    card = rgb[:, *quarter(*rgb.shape[1:])]
+def detect_quarter(card: np.ndarray) -> dict:
+    """All steps for the lower left quarter (3, height, width) of one image."""
     w = card.shape[2]
     bottom = dark_lines(luma(card)[:, max(0, w - max(3, int(np.floor(w * 0.15)))) :], 1)
     if not len(bottom):
@@ -158,10 +158,10 @@ def _detector(batches):
             size = (height or 0, width or 0)
             y, x, *channels = (None if (v := batch.column(i)[k].values) is None else np.asarray(v) for i in range(3, 8))
             try:
-                rgb = whole(channels, *size) if y is None else placed(y, x, channels, *size)
+                card = cropped(channels, *size) if y is None else placed(y, x, channels, *size)
             except ValueError as e:
                 raise ValueError(f"image {image}: {e}") from e
-            rows.append({"image_id": image} | detect_image(rgb))
+            rows.append({"image_id": image} | detect_quarter(card))
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
 
